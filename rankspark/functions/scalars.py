@@ -68,6 +68,22 @@ def hash_draw(n, *parts) -> Column:
     return F.shiftright(hash32(*parts) * as_col(n).cast("bigint"), 32)
 
 
+#: Prime modulus of the replicate mixer; squares of residues fit a bigint.
+MIX_PRIME = 2147483647
+
+
+def replicate_mix(base, replicate) -> Column:
+    """Pseudo-random integer in [0, MIX_PRIME) per (row hash, replicate).
+
+    Two quadratic rounds in integer arithmetic: one text hash per row serves every replicate.
+    """
+    p = F.lit(MIX_PRIME).cast("bigint")
+    base, b = as_col(base).cast("bigint") % p, as_col(replicate).cast("bigint")
+    y0 = (base + b * F.lit(1000003).cast("bigint")) % p
+    y1 = (y0 * y0 + base) % p
+    return (y1 * y1 + y0) % p
+
+
 def general_format(x, digits: int = 6) -> Column:
     """printf %.6g with trailing zeros removed."""
     text = F.format_string(f"%.{digits}g", as_col(x).cast("double"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankspark.session import tune
 
-MODULES = ("ranking", "features")
+MODULES = ("ranking", "features", "studies")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

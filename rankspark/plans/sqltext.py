@@ -64,3 +64,12 @@ def report(source: str = "um", by: str = "") -> str:
   SELECT {lead}coalesce(sum(CASE WHEN pos > 0 AND pos < n THEN pos * auc END)
               / sum(CASE WHEN pos > 0 AND pos < n THEN pos END), 0.5) AS gauc,
     avg(ndcg) AS ndcg, count(*) AS users, sum(n)::BIGINT AS "rows" FROM {source}{tail})"""
+
+
+def replicate_mix(base: str, b: str) -> str:
+    """functions.replicate_mix in SQL."""
+    p = "2147483647"
+    h = f"(({base}) % {p})"
+    y0 = f"(({h} + {b} * 1000003) % {p})"
+    y1 = f"(({y0} * {y0} + {h}) % {p})"
+    return f"(({y1} * {y1} + {y0}) % {p})"

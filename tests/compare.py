@@ -69,7 +69,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
 
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    wanted = sys.argv[2:]
+    wanted = [a for a in sys.argv[2:] if a != "-v"]
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
@@ -85,8 +85,8 @@ def main():
         try:
             ok, msg, took = compare(spark, con, name, fn, sql.get(name), sf_dir)
         except Exception as exc:
-            ok, msg, took = False, f"{type(exc).__name__}: {str(exc)[:1500]}", 0.0
-            if wanted:
+            ok, msg, took = False, f"{type(exc).__name__}: {str(exc)[:600]}", 0.0
+            if "-v" in sys.argv:
                 traceback.print_exc()
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name:32s} {took:6.1f}s {msg[:900]}", flush=True)
