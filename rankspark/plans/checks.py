@@ -48,12 +48,13 @@ def gate_verdict(spark, sf_dir):
                       F.try_element_at("reasons", F.lit(1)).alias("first_reason"))
 
 
-def standard_gate(spark, sf_dir):
-    """The real rule set over all documents and pages as bare texts."""
+def external_asset_hits(spark, sf_dir):
+    """The standard rule set over whole pages with their addresses, and over whole documents."""
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
-    pages = T.table(spark, sf_dir, "pages").select((F.col("page_id") + 1_000_000_000).alias("doc_id"), F.col("html").alias("text"))
-    hits = G.rule_hits(docs.unionByName(pages), "doc_id")
-    return hits.groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("detail").alias("details"))
+    pages = T.table(spark, sf_dir, "pages").select(
+        (-1 - F.col("page_id")).alias("doc_id"), F.concat_ws("\n", "url", "html").alias("text"))
+    hits = G.rule_hits(docs.unionByName(pages), "doc_id").where("rule = 3")
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.min_by("detail", "pos").alias("first_detail"))
 
 
 def semantic_changes(spark, sf_dir):
@@ -153,7 +154,7 @@ def proposal_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    added_lines, rule_hits, rule_hits_excused, gate_verdict, standard_gate, semantic_changes, text_hash_dedup,
+    added_lines, rule_hits, rule_hits_excused, gate_verdict, external_asset_hits, semantic_changes, text_hash_dedup,
     record_violations, cross_field_violations, reply_json, run_log_status, near_duplicate_fingerprints,
     exact_duplicates, idea_fingerprints, proposal_counts)}
 
@@ -193,6 +194,12 @@ SQL = {
     "gate_verdict": _HITS + """, reason AS (SELECT doc_id, rule || '|' || detail || '|' || trim(line) AS r, min((rule, pos, k)) AS o FROM kept GROUP BY 1, 2)
         SELECT d.doc_id, count(r) = 0 AS passed, count(r)::INTEGER AS n_reasons, arg_min(r, o) AS first_reason
         FROM documents d LEFT JOIN reason USING (doc_id) GROUP BY 1""",
+    "external_asset_hits": """WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - page_id, url || chr(10) || html FROM pages),
+        l AS (SELECT doc_id, unnest(string_split_regex(text, '[\\n\\r]+')) AS l, generate_subscripts(string_split_regex(text, '[\\n\\r]+'), 1) AS pos FROM t),
+        m AS (SELECT doc_id, bool_or(regexp_matches(l, '^([+-]|@@|diff )')) AS d FROM l GROUP BY 1),
+        a AS (SELECT doc_id, pos, CASE WHEN d THEN substr(l, 2) ELSE l END AS l FROM l JOIN m USING (doc_id) WHERE NOT d OR (starts_with(l, '+') AND NOT starts_with(l, '+++'))),
+        c AS (SELECT doc_id, pos, CASE WHEN contains(l, '"') OR contains(l, '''') THEN l ELSE string_split(l, '#')[1] END AS l FROM a)
+        SELECT doc_id, count(*) AS hits, arg_min(regexp_extract(l, $p$EXT$p$), pos) AS first_detail FROM c WHERE regexp_matches(l, $p$EXT$p$) GROUP BY 1""".replace("EXT", "(?i)" + G.EXTERNAL[5:]),
     "semantic_changes": _ADDED + f""" SELECT doc_id, coalesce(bool_or(regexp_matches(substr(l, 2), '(?i){_L}(license|erthe|chaux|shan)'))
         FILTER (WHERE (starts_with(l, '+') OR starts_with(l, '-')) AND NOT starts_with(l, '+++') AND NOT starts_with(l, '---')), false) AS semantic
         FROM full_lines GROUP BY 1""",
