@@ -33,18 +33,20 @@ def _ideal_dcg(pos: Column, k: int) -> Column:
 
 
 def _light_groups(df: DataFrame, keys: list[str], tiebreak: Sequence[str], k: int) -> DataFrame:
-    """Rank, tie size and position from one hash exchange and one sort."""
+    """Average rank and position from one hash exchange and one sort.
+
+    The count over the default range frame reaches the last row with the same score, so rank and count
+    enclose the tie; no window needs the score as a partition key.
+    """
     by_score = Window.partitionBy(*keys).orderBy("_neg")
     stable = Window.partitionBy(*keys).orderBy("_neg", *tiebreak)
-    ties = Window.partitionBy(*keys, "_neg")
-    at = F.row_number().over(stable)
-    ranked = (df.withColumn("_at", at).withColumn("_rank", F.rank().over(by_score))
-              .withColumn("_ties", F.count(F.lit(1)).over(ties)))
+    ranked = (df.withColumn("_at", F.row_number().over(stable)).withColumn("_rank", F.rank().over(by_score))
+              .withColumn("_upto", F.count(F.lit(1)).over(by_score)))
     hit = F.col("_y") == 1
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("_y").cast("bigint").alias("pos"),
-        F.sum(F.when(hit, F.col("_rank") + (F.col("_ties") - 1) / 2.0).otherwise(0.0)).alias("_rank_sum"),
+        F.sum(F.when(hit, (F.col("_rank") + F.col("_upto")) / 2.0).otherwise(0.0)).alias("_rank_sum"),
         F.sum(F.when(hit & (F.col("_at") <= k), _discount(F.col("_at"))).otherwise(0.0)).alias("_dcg"))
 
 

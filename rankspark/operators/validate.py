@@ -87,8 +87,8 @@ def prediction_violations(lines: DataFrame, expected: DataFrame, user: str = "us
     never read.  Each bad line reports the first check it fails.
     """
     f = F.split("text", ",")
-    got = lines.select("line", F.size(f).alias("n_fields"), f[0].alias("s_row"), f[1].alias("s_user"),
-                       f[2].alias("s_item"), f[3].alias("s_score"))
+    got = lines.select("line", F.size(f).alias("n_fields"), F.get(f, 0).alias("s_row"), F.get(f, 1).alias("s_user"),
+                       F.get(f, 2).alias("s_item"), F.get(f, 3).alias("s_score"))
     want = expected.select(F.col("row_id").alias("line"), F.col(user).cast("string").alias("e_user"),
                            F.col(item).cast("string").alias("e_item"), F.lit(True).alias("_want"))
     both = got.join(want, "line", "full_outer")

@@ -33,14 +33,12 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share; a local temp folder only on local masters."""
     sc = spark.sparkContext
-    root = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
-    if not root:
-        root = sc.getCheckpointDir()
+    root = spark.conf.get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if not root:
         if not sc.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
