@@ -16,6 +16,9 @@ CONFIRM_P = 0.9
 PROMOTE_MARGIN = 0.0005
 NO_OP_EPSILON = 1e-9
 
+#: Most deltas (about 40 bytes each) the resampling join broadcasts; beyond it both sides shuffle.
+BROADCAST_ROWS = 500_000
+
 #: Cumulative Poisson(1) probabilities; a uniform draw exceeds as many of them as its weight.
 POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
@@ -65,7 +68,11 @@ def paired_bootstrap(deltas: DataFrame, by: Sequence[str] = ("node_id",), draws:
         pick = replicate_mix("_h", "b") % F.col("_n")
         picks = (numbered.join(sizes, by).select(*by, "_n", hash32(F.lit(seed), *by, "_i").alias("_h"))
                  .withColumn("b", F.explode(replicates)).select(*by, "b", pick.alias("_i")))
-        means = picks.join(numbered.select(*by, "_i", "delta"), [*by, "_i"]).groupBy(*by, "b").agg(F.avg("delta").alias("m"))
+        values = numbered.select(*by, "_i", "delta")
+        # draws outnumber values by ``draws`` to one: keep them in place while the values are few
+        if deltas.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            values = F.broadcast(values)
+        means = picks.join(values, [*by, "_i"]).groupBy(*by, "b").agg(F.avg("delta").alias("m"))
     else:
         raise ValueError(f"unknown method {method!r}")
     # exactly ``draws`` rows per group from here on

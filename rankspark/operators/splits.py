@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,21 +11,48 @@ from pyspark.sql import functions as F
 Ranges = Mapping[str, tuple[int, int]]
 
 
-def split_column(ranges: Ranges, date: str = "date") -> Column:
-    """Name of the inclusive yyyymmdd range the row falls in; null outside all ranges."""
+def _inside(lo: int, hi: int, column: str, stored_as_time: bool) -> Column:
+    """Inclusive yyyymmdd range as a comparison on the stored column, so that it reaches the scan."""
+    if not stored_as_time:
+        return F.col(column).between(lo, hi)
+    first = datetime.strptime(str(lo), "%Y%m%d")
+    after = datetime.strptime(str(hi), "%Y%m%d") + timedelta(days=1)
+    def at(t: datetime) -> Column:
+        return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+    return (F.col(column) >= at(first)) & (F.col(column) < at(after))
+
+
+def split_column(ranges: Ranges, date: str = "date", stored_as_time: bool = False) -> Column:
+    """Name of the range the row falls in; null outside all ranges."""
     out = None
     for name, (lo, hi) in ranges.items():
-        hit = F.col(date).between(lo, hi)
+        hit = _inside(lo, hi, date, stored_as_time)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 
 
-def assign_split(df: DataFrame, ranges: Ranges, date: str = "date", name: str = "split") -> DataFrame:
+def assign_split(df: DataFrame, ranges: Ranges, date: str = "date", name: str = "split",
+                 stored_as_time: bool = False) -> DataFrame:
+    """Name the split of each row and drop the rows outside all ranges.
+
+    ``stored_as_time``: ``date`` is a timestamp column; the ranges become timestamp bounds.
+    """
     lo = min(r[0] for r in ranges.values())
     hi = max(r[1] for r in ranges.values())
-    # the outer range is a plain comparison on the stored column, so it reaches the scan
-    kept = df.where(F.col(date).between(lo, hi))
-    return kept.withColumn(name, split_column(ranges, date)).where(F.col(name).isNotNull())
+    kept = df.where(_inside(lo, hi, date, stored_as_time))
+    named = kept.withColumn(name, split_column(ranges, date, stored_as_time))
+    spans = sorted(ranges.values())
+    gapless = all(_next_day(a[1]) == b[0] for a, b in zip(spans, spans[1:]))
+    return named if gapless else named.where(F.col(name).isNotNull())
+
+
+def pick_split(df: DataFrame, ranges: Ranges, split: str, date: str = "date", stored_as_time: bool = False) -> DataFrame:
+    """The rows of one split, by a plain range filter on the stored column."""
+    return df.where(_inside(*ranges[split], date, stored_as_time))
+
+
+def _next_day(day: int) -> int:
+    return int((datetime.strptime(str(day), "%Y%m%d") + timedelta(days=1)).strftime("%Y%m%d"))
 
 
 def check_ranges(ranges: Ranges) -> list[tuple[str, str]]:
@@ -33,9 +61,9 @@ def check_ranges(ranges: Ranges) -> list[tuple[str, str]]:
     return [(a, b) for (a, (_, hi)), (b, (lo, _)) in zip(items, items[1:]) if lo <= hi]
 
 
-def split_sizes(df: DataFrame, ranges: Ranges, date: str = "date") -> DataFrame:
+def split_sizes(df: DataFrame, ranges: Ranges, date: str = "date", stored_as_time: bool = False) -> DataFrame:
     """Rows per split; only the date column is read."""
-    return assign_split(df.select(date), ranges, date).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    return assign_split(df.select(date), ranges, date, "split", stored_as_time).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def leaked_rows(df: DataFrame, cols: Sequence[str], split: str = "split") -> DataFrame:

@@ -14,7 +14,7 @@ from rankspark.operators.quantiles import exact_quantiles, interior
 from rankspark.operators.skew import dense_index, number_within
 from rankspark.operators.vocab import CategoricalIndexer, named_fields
 from rankspark.plans import sqltext as S
-from rankspark.plans.ranking import KEY, rounded, split_impressions
+from rankspark.plans.ranking import KEY, rounded, split_impressions, split_rows
 from rankspark.session import scratch_path
 from rankspark.sources import logs as L
 from rankspark.sources import tables as T
@@ -23,18 +23,18 @@ EDGE_DIGITS = 6
 
 
 def train_rows(spark, sf_dir):
-    return split_impressions(spark, sf_dir).where("split = 'train'")
+    return split_rows(spark, sf_dir, "train")
 
 
 # ---- splits -----------------------------------------------------------------
 
 def split_sizes(spark, sf_dir):
-    return P.split_sizes(T.impressions(spark, sf_dir), T.SPLITS)
+    return P.split_sizes(T.impressions(spark, sf_dir), T.SPLITS, "shown_at", stored_as_time=True)
 
 
 def valid_subsplits(spark, sf_dir):
-    valid = P.assign_split(T.impressions(spark, sf_dir), {"valid": T.OFFICIAL["valid"]})
-    parts = P.assign_split(valid.drop("split"), T.VALID_PARTS)
+    valid = P.pick_split(T.impressions(spark, sf_dir), T.OFFICIAL, "valid", "shown_at", stored_as_time=True)
+    parts = P.assign_split(valid, T.VALID_PARTS, "shown_at", stored_as_time=True)
     return parts.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"),
                                       F.max("date").alias("last_date"))
 
@@ -47,8 +47,8 @@ def split_composition(spark, sf_dir):
 def split_leak_rows(spark, sf_dir):
     """Leak check under sub-splits that overlap by design, so that the check has hits."""
     rows = T.impressions(spark, sf_dir)
-    a = P.assign_split(rows, {"first": (19950101, 19990331)})
-    b = P.assign_split(rows, {"second": (19990301, 20011231)})
+    a = P.assign_split(rows, {"first": (19950101, 19990331)}, "shown_at", stored_as_time=True)
+    b = P.assign_split(rows, {"second": (19990301, 20011231)}, "shown_at", stored_as_time=True)
     return P.leaked_rows(a.unionByName(b), ["order_id", "line_no", "item_id", "author_id", "date", "user_id"])
 
 
@@ -271,7 +271,7 @@ def append_invariance(spark, sf_dir):
 # ---- validation -------------------------------------------------------------
 
 def _expected(spark, sf_dir):
-    rows = split_impressions(spark, sf_dir).where("split = 'test'").select(*KEY, "user_id")
+    rows = split_rows(spark, sf_dir, "test").select(*KEY, "user_id")
     return dense_index(rows, KEY).select("row_id", "user_id", "item_id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankspark.functions import hash_uniform
 from rankspark.operators import metrics as M
 from rankspark.operators.rates import popularity_scores
-from rankspark.operators.splits import assign_split
+from rankspark.operators.splits import assign_split, pick_split
 from rankspark.plans import sqltext as S
 from rankspark.sources import tables as T
 
@@ -22,12 +22,16 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 
 def split_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_split(T.impressions(spark, sf_dir), T.SPLITS)
+    return assign_split(T.impressions(spark, sf_dir), T.SPLITS, "shown_at", stored_as_time=True).drop("shown_at")
+
+
+def split_rows(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    """One split; its date range is a pushed filter."""
+    return pick_split(T.impressions(spark, sf_dir), T.SPLITS, split, "shown_at", stored_as_time=True).drop("shown_at")
 
 
 def scored_by_popularity(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
-    rows = split_impressions(spark, sf_dir)
-    return popularity_scores(rows.where("split = 'train'"), rows.where(F.col("split") == split))
+    return popularity_scores(split_rows(spark, sf_dir, "train"), split_rows(spark, sf_dir, split))
 
 
 def random_score(seed) -> Column:
@@ -40,7 +44,7 @@ def _report(df: DataFrame, counted: DataFrame, **kw) -> DataFrame:
 
 
 def _members(spark, sf_dir, split):
-    return split_impressions(spark, sf_dir).where(F.col("split") == split)
+    return split_rows(spark, sf_dir, split)
 
 
 def report_popularity(spark, sf_dir):

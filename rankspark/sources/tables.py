@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.session import spread
+
 #: Columns that identify an impression and give its place in the log.
 ROW_KEY = ("order_id", "line_no", "item_id", "author_id", "date")
 
@@ -33,8 +35,13 @@ SCHEMAS = {
 }
 
 
+#: Tables with per-row work worth spreading, and the key to spread them by.
+SPREAD = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, SPREAD[name]) if name in SPREAD else df
 
 
 def yyyymmdd(ts: str):
@@ -42,12 +49,16 @@ def yyyymmdd(ts: str):
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as an impression log: who saw what, from whom, and the label."""
+    """Order lines as an impression log: who saw what, from whom, when, and the label.
+
+    ``shown_at`` is the stored time, which range filters can push to the scan; ``date`` is derived from it.
+    """
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("author_id"),
         F.col("l_extendedprice").alias("duration_ms"),
-        (F.col("l_returnflag") == "R").cast("int").alias("label"), yyyymmdd("l_shipdate").alias("date"))
+        (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_shipdate").alias("shown_at"),
+        yyyymmdd("l_shipdate").alias("date"))
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_orderpriority").alias("tab"))
