@@ -56,9 +56,13 @@ def paired_bootstrap(deltas: DataFrame, by: Sequence[str] = ("node_id",), draws:
         deltas = deltas.groupBy(*by, cluster).agg(F.avg("delta").alias("delta"))
         order = [cluster]
     replicates = F.sequence(F.lit(0), F.lit(draws - 1))
+    total = deltas.count()
+    # every row grows ``draws`` times inside its task, so the small input is spread by its final size
+    tasks = max(deltas.sparkSession.sparkContext.defaultParallelism, total * draws // 4_000_000)
     if method == "poisson":
         weight = sum(((F.lit(c) <= F.col("_u")).cast("int") for c in POISSON_CDF), F.lit(0))
-        spread = (deltas.select(*by, "delta", hash32(F.lit(seed), *by, *order).alias("_h"))
+        spread = (deltas.repartition(tasks, *by, *order)
+                  .select(*by, "delta", hash32(F.lit(seed), *by, *order).alias("_h"))
                   .withColumn("b", F.explode(replicates))
                   .withColumn("_u", replicate_mix("_h", "b") / F.lit(float(MIX_PRIME))).withColumn("_w", weight))
         means = spread.groupBy(*by, "b").agg((F.sum(F.col("_w") * F.col("delta")) / F.sum("_w")).alias("m"))
@@ -66,11 +70,11 @@ def paired_bootstrap(deltas: DataFrame, by: Sequence[str] = ("node_id",), draws:
         numbered = number_within(deltas.select(*by, *order, "delta"), by, list(order), "_i")
         sizes = deltas.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
         pick = replicate_mix("_h", "b") % F.col("_n")
-        picks = (numbered.join(sizes, by).select(*by, "_n", hash32(F.lit(seed), *by, "_i").alias("_h"))
+        picks = (numbered.join(sizes, by).repartition(tasks, *by, "_i").select(*by, "_n", hash32(F.lit(seed), *by, "_i").alias("_h"))
                  .withColumn("b", F.explode(replicates)).select(*by, "b", pick.alias("_i")))
         values = numbered.select(*by, "_i", "delta")
         # draws outnumber values by ``draws`` to one: keep them in place while the values are few
-        if deltas.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        if total <= BROADCAST_ROWS:
             values = F.broadcast(values)
         means = picks.join(values, [*by, "_i"]).groupBy(*by, "b").agg(F.avg("delta").alias("m"))
     else:

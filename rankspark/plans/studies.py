@@ -314,17 +314,16 @@ def recovered_records(spark, sf_dir):
 
 
 def flattened_progress(spark, sf_dir):
-    """One document per user with its days and events, flattened back to events."""
-    ev = T.table(spark, sf_dir, "events")
-    day = F.dayofmonth("ts")
+    """One document per 64 consecutive events with their days, flattened back to events."""
+    ev = T.table(spark, sf_dir, "events").withColumn("doc", F.expr("event_id DIV 64"))
     cand = F.struct(F.col("event_id").cast("string").alias("id"), F.col("value").alias("primary"), F.col("event_type").alias("status"))
-    days = ev.groupBy("user_id", day.alias("iter")).agg(F.collect_list(cand).alias("candidates"))
-    docs = days.groupBy("user_id").agg(F.collect_list(F.struct("iter", (F.col("iter") * 60.0).alias("elapsed_s"), "candidates")).alias("iterations"))
+    # a document holds at most 64 candidates, so the lists are bounded
+    days = ev.groupBy("doc", F.dayofmonth("ts").alias("iter")).agg(F.collect_list(cand).alias("candidates"))
+    docs = days.groupBy("doc").agg(F.collect_list(F.struct("iter", (F.col("iter") * 60.0).alias("elapsed_s"), "candidates")).alias("iterations"))
     path = scratch_path(spark, "progress")
     docs.write.json(path)
-    schema = J.PROGRESS_SCHEMA + ", user_id bigint"
-    read = spark.read.schema(schema).json(path)
-    return J.flatten_progress(read, ["user_id"]).select("user_id", "iter", "elapsed_s", "id", "primary", "status")
+    read = spark.read.schema(J.PROGRESS_SCHEMA + ", doc bigint").json(path)
+    return J.flatten_progress(read, ["doc"]).select("doc", "iter", "elapsed_s", "id", "primary", "status")
 
 
 def lineage(spark, sf_dir):
@@ -509,7 +508,7 @@ SQL = {
     "tolerant_jsonl": """SELECT (event_id % 50)::INTEGER AS iter, event_id AS id, event_type AS status, value FROM events WHERE event_id % 31 NOT IN (5, 6)""",
     "recovered_records": """SELECT event_id // 8 AS line, sum((event_id % 41 <> 7)::INT)::BIGINT AS records, sum((event_id % 41 = 7)::INT)::BIGINT AS skipped,
         sum(CASE WHEN event_id % 41 <> 7 THEN event_id END)::BIGINT AS id_sum FROM events GROUP BY 1""",
-    "flattened_progress": """SELECT user_id, day(ts)::INTEGER AS iter, day(ts) * 60.0::DOUBLE AS elapsed_s, event_id::VARCHAR AS id, value AS "primary", event_type AS status FROM events""",
+    "flattened_progress": """SELECT event_id // 64 AS doc, day(ts)::INTEGER AS iter, day(ts) * 60.0::DOUBLE AS elapsed_s, event_id::VARCHAR AS id, value AS "primary", event_type AS status FROM events""",
     "lineage": """WITH RECURSIVE up AS (SELECT event_id AS id, event_id AS cur, 0::BIGINT AS depth FROM events UNION ALL
         SELECT id, (cur - 1) // 3, depth + 1 FROM up WHERE cur > 0) SELECT id, cur AS root, depth FROM up WHERE cur = 0""",
 }
