@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions import smoothed_rate
+from rankspark.operators.skew import dense_index
 
 
 def rate_table(df: DataFrame, keys: Sequence[str | Column], label: str = "label",
@@ -26,6 +27,12 @@ def group_sizes(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def group_offsets(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """Start and end of each group in the layout sorted by (group, order)."""
+    placed = dense_index(df.select(*dict.fromkeys([group, *order])), [group, *order], "_g")
+    return placed.groupBy(group).agg(F.min("_g").alias("start"), (F.max("_g") + 1).alias("end"))
+
+
 def pair_eligibility(df: DataFrame, group: str, label: str = "label") -> DataFrame:
     """Positive and negative counts; a group is eligible when it has both."""
     per = df.groupBy(group).agg(F.sum(label).cast("bigint").alias("pos"),

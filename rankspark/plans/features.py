@@ -160,6 +160,16 @@ def group_sizes(spark, sf_dir):
     return R.group_sizes(train_rows(spark, sf_dir), "user_id")
 
 
+def group_offsets(spark, sf_dir):
+    return R.group_offsets(train_rows(spark, sf_dir), "user_id", KEY)
+
+
+def user_layout(spark, sf_dir):
+    """Rows laid out in user blocks; the layout changes no row."""
+    rows = train_rows(spark, sf_dir).select("user_id", *KEY)
+    return D.user_layout(rows, "user_id", KEY)
+
+
 def pair_eligibility(spark, sf_dir):
     return R.pair_eligibility(train_rows(spark, sf_dir), "user_id")
 
@@ -337,7 +347,8 @@ QUERIES = {f.__name__: f for f in (
     split_sizes, valid_subsplits, split_composition, split_leak_rows, split_coverage, split_round_trip,
     duplicate_pairs, pair_sparsity, dense_row_ids, csv_log_round_trip, prediction_file_round_trip,
     item_attributes_lookup, user_attributes_lookup, last_row_wins, unseen_items, rate_table_item,
-    rate_table_author, smoothed_rates, popularity_with_default, group_sizes, pair_eligibility, quantile_edges,
+    rate_table_author, smoothed_rates, popularity_with_default, group_sizes, group_offsets, user_layout, pair_eligibility,
+    quantile_edges,
     duration_bucket, user_activity_bucket, cross_rates, vocabulary, encoded_rows, encoded_rows_wide,
     dense_features, label_flip_invariance, append_invariance, prediction_check_ok,
     prediction_check_violations, validity_violations, validated_report, provenance_violations, negative_numbers)}
@@ -431,6 +442,9 @@ SQL = {
           round((coalesce(p, 0) + 20.0::DOUBLE * (SELECT avg(label) FROM tr)) / (coalesce(n, 0) + 20.0::DOUBLE), 6) AS score
         FROM simp LEFT JOIN r USING (item_id) WHERE split = 'test'""",
     "group_sizes": _W + ' SELECT user_id, count(*) AS "rows" FROM train GROUP BY 1',
+    "group_offsets": _W + """ SELECT user_id, (sum(n) OVER (ORDER BY user_id) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY user_id))::BIGINT AS "end"
+        FROM (SELECT user_id, count(*) AS n FROM train GROUP BY 1)""",
+    "user_layout": _W + f" SELECT user_id, {S.KEY} FROM train",
     "pair_eligibility": _W + """ SELECT user_id, sum(label)::BIGINT AS pos, sum(1 - label)::BIGINT AS neg,
         sum(label) > 0 AND sum(1 - label) > 0 AS eligible FROM train GROUP BY 1""",
     "quantile_edges": _W + " SELECT " + ", ".join(

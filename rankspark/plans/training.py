@@ -117,7 +117,7 @@ def gbt_lambdarank(spark, sf_dir):
 
 
 def lambda_gradients(spark, sf_dir):
-    """Gradients of all train rows at popularity-like scores: the item's share of even author ids."""
+    """Gradients of all train rows at scores with many ties inside a user."""
     train = P.train_rows(spark, sf_dir).select("user_id", "label", *KEY).withColumn("score", (F.col("item_id") % 101) / 10.0)
     out = G.lambda_gradients(train, "user_id", KEY, truncation=5)
     return rounded(out.select(*KEY, "lam", "hess"), "lam", "hess")

@@ -29,3 +29,15 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["gauc", "ndcg", "primary", "users", "rows"]
     assert df.count() == 1
+
+
+@pytest.mark.parametrize("name", ["ranking_report_by_split", "per_user_primary", "fractional_ranks", "negative_numbers", "pair_sample",
+                                  "running_best", "improvement_score", "prior_attempts", "lambda_gradients"])
+def test_heavy_forms_match_sql(spark, con, name):
+    """The forms for hot keys, forced by a bound most keys exceed, give the same values."""
+    spark.conf.set("spark.rankspark.heavy.rows", "5")
+    try:
+        ok, message, _ = compare(spark, con, name, QUERIES[name], SQL[name], SF)
+    finally:
+        spark.conf.unset("spark.rankspark.heavy.rows")
+    assert ok, message
