@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import decontam, mixing, sharding, simhash, topk, urls
+from rankspark.llm import decontam, mixing, quality, sharding, simhash, suffix, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(read(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
 
@@ -45,14 +57,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(read(spark, sf_dir, "documents"), ["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_products(vectors, vectors.where("vec_id % 50 = 0"))
 
 
 QUERIES: dict[str, Query] = {
-    "op1_decontamination": op1_decontamination, "op2_url_filter": op2_url_filter, "op4_simhash": op4_simhash, "op7_mixing": op7_mixing,
-    "op8_sharding": op8_sharding, "op10_topk": op10_topk,
+    "op1_decontamination": op1_decontamination, "op2_url_filter": op2_url_filter, "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding,
+    "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk,
 }
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
