@@ -152,3 +152,18 @@ def taken_words(mixed: Mix, keep: list[str]) -> DataFrame:
     none = mixed.placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return some.unionByName(none).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target",
                                          F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
+    """``keep`` columns once for each pass that takes words of a document.  The text is the document's own where the pass takes all its words, else the
+    words taken, in order, with single spaces."""
+    rows = pin(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written once, so the number stays
+    made = mix(rows, ["__row"], doc_id, text, source, **how)
+    stretch = F.sort_array(F.collect_list(F.struct("first", "n")))
+    passes = made.pieces.groupBy("s", "start", "size", "pass").agg(stretch.alias("stretches"), F.sum("n").alias("taken"))
+    row = made.placed.where("size > 0").select("s", "start", F.col("k0").alias("__row"))
+    found = F.regexp_extract_all(F.col(f"`{text}`").cast("string"), F.lit(TOKEN), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("stretches", lambda x: F.slice(F.col("__words"), x["first"].cast("int") + 1, x["n"].cast("int")))), " ")
+    taken = passes.join(row, ["s", "start"]).select("__row", "pass", "stretches", (F.col("taken") == F.col("size")).alias("whole"))
+    joined = rows.join(taken, "__row").withColumn("__words", F.when(~F.col("whole"), found))
+    return joined.withColumn(text, F.when(F.col("whole"), F.col(f"`{text}`")).otherwise(some)).select(*[F.col(f"`{c}`") for c in keep])

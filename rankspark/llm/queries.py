@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import decontam, mixing, quality, sharding, simhash, suffix, topk, toxicity, urls
+from rankspark.llm import decontam, mixing, quality, sharding, simhash, suffix, tokencounts, topk, toxicity, urls
+from rankspark.session import pin, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,24 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches, the second sent twice: all documents come in, counted by white space and by a byte-pair vocabulary; of equal texts
+    all but the smallest id go; the white-space counts of what is left are revised to counts of words."""
+    docs = read(spark, sf_dir, "documents").withColumn("tokens", F.coalesce(F.regexp_count("text", F.lit(mixing.TOKEN)), F.lit(0)).cast("long"))
+    counted = tokencounts.byte_pair_counts(tokencounts.word_counts(docs, name="revised"), name="pairs")
+    counts = pin(counted.select("doc_id", "source", "lang", "tokens", "revised", "pairs", F.md5(F.coalesce("text", F.lit(""))).alias("digest")), "counts")
+    by_space, by_pairs = F.struct(F.lit("words").alias("version"), "tokens"), F.struct(F.lit("byte_bpe_50k").alias("version"), F.col("pairs").alias("tokens"))
+    both = [F.inline(F.array(by_space, by_pairs))]
+    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = counts.join(first, "digest").withColumn("copy", F.col("doc_id") > F.col("first"))
+    rollup = tokencounts.Rollup(spark, scratch_path(spark, "totals"))
+    rollup.apply("load", tokencounts.inserts(counts.select("source", "lang", *both)))
+    for _ in range(2):
+        rollup.apply("copies", tokencounts.deletes(copies.where("copy").select("source", "lang", *both)))
+    rollup.apply("words", tokencounts.revisions(copies.where("not copy").withColumn("version", F.lit("words"))))
+    return rollup.totals().select("source", "lang", "version", "documents", "tokens")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,8 +87,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_decontamination": op1_decontamination, "op2_url_filter": op2_url_filter, "op4_simhash": op4_simhash,
-    "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding,
+    "op1_decontamination": op1_decontamination, "op2_url_filter": op2_url_filter, "op3_token_counts": op3_token_counts,
+    "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding,
     "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk,
 }
 
