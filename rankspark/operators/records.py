@@ -102,7 +102,8 @@ def parse_run_logs(df: DataFrame, key: str = "run_id", text: str = "text", exit_
     """Status and metrics of each run log.
 
     The last marker line that parses wins; without one, the last scraped value of each metric.
-    Any non-finite token makes the run diverged; no metrics makes it an error.
+    Any non-finite token, or value of the marker object, makes the run diverged; no metrics (an empty object has none)
+    makes it an error.
     """
     marks = F.filter(text_lines(F.col(text)), lambda l: l.contains(METRICS_MARK))
     after = F.transform(marks, lambda l: F.regexp_extract(l, METRICS_MARK + r"(.*)", 1))
@@ -114,11 +115,19 @@ def parse_run_logs(df: DataFrame, key: str = "run_id", text: str = "text", exit_
         scraped = F.try_element_at(F.regexp_extract_all(text, F.lit(word + r"\s+([-+0-9.eE]+)"), F.lit(1)), F.lit(-1))
         given = F.try_variant_get("_v", f"$['{word}']", "double")
         cols.append(F.when(F.col("_m").isNotNull(), given).otherwise(scraped.try_cast("double")).alias(name))
-    out = doc.select(key, text, exit_code, *([timed_out] if timed_out else []), F.col("_m").isNotNull().alias("_has_marker"), *cols)
+    every = F.from_json("_m", "map<string,string>")
+    empty = F.trim("_m").rlike(r"(?s)^\{\s*\}$")
+    out = doc.select(key, text, exit_code, *([timed_out] if timed_out else []), F.col("_m").isNotNull().alias("_has_marker"),
+                     every.alias("_all"), empty.alias("_empty"), *cols)
     bad = F.lit(False)
     for name in METRIC_NAMES:
         bad = bad | F.coalesce(~is_finite(name), F.lit(False)) & F.col(name).isNotNull()
-    any_metric = F.col("_has_marker") | F.coalesce(*METRIC_NAMES).isNotNull()
+    # every value of the marker object counts, whatever its name; numbers may be written as text
+    def number(v: Column) -> Column:
+        return F.regexp_replace(v, '^"|"$', "").try_cast("double")     # an overflow comes back as quoted text
+    odd = F.exists(F.map_values("_all"), lambda v: number(v).isNotNull() & ~is_finite(number(v)))
+    bad = bad | F.coalesce(odd, F.lit(False))
+    any_metric = F.when(F.col("_has_marker"), ~F.col("_empty")).otherwise(F.coalesce(*METRIC_NAMES).isNotNull())
     status = F.when(F.col(timed_out), "timeout") if timed_out else F.when(F.lit(False), "timeout")
     status = (status.when(F.col(text).rlike(DIVERGED) | bad, "diverged").when(F.col(exit_code) != 0, "error")
               .when(any_metric, "ok").otherwise("error"))

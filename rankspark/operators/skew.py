@@ -8,6 +8,8 @@ form for the keys above it.  The bound is ``spark.rankspark.heavy.rows``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,9 +41,12 @@ def split_heavy(df: DataFrame, keys: Sequence[str], max_rows: int | None = None,
     found = heavy.limit(BROADCAST_KEYS + 1).collect()
     if not found:
         return df, None
+    heavy = heavy.select(*[F.col(k).alias(f"_heavy{i}") for i, k in enumerate(keys)])
     if len(found) <= BROADCAST_KEYS:
         heavy = F.broadcast(df.sparkSession.createDataFrame(found, heavy.schema))
-    return df.join(heavy, keys, "left_anti"), df.join(heavy, keys, "left_semi")
+    # null is a key like any other
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_heavy{i}")) for i, k in enumerate(keys)])
+    return df.join(heavy, same, "left_anti"), df.join(heavy, same, "left_semi")
 
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_id") -> DataFrame:
@@ -64,6 +69,13 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_i
             .select(*cols, (F.col("_start") + F.col("_at")).alias(name)))
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys of which null is one."""
+    named = right.select(*[F.col(k).alias(f"_same{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_same{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same).drop(*[f"_same{i}" for i in range(len(keys))])
+
+
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str,
                   max_rows: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """0-based position of each row inside its key group."""
@@ -76,7 +88,7 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     placed = dense_index(heavy, [*keys, *order], "_g")
     first = placed.groupBy(*keys).agg(F.min("_g").alias("_first"))
     # one row per heavy key, see split_heavy for the bound
-    return out.unionByName(placed.join(F.broadcast(first), keys)
+    return out.unionByName(same_keys(placed, F.broadcast(first), keys)
                            .select(*df.columns, (F.col("_g") - F.col("_first")).alias(name)))
 
 
@@ -98,7 +110,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], v
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     prefix = (placed.groupBy(*keys, "_piece").agg(combine("_v").alias("_t"))
               .select(*keys, "_piece", combine("_t").over(earlier).alias("_prefix")))
-    joined = placed.withColumn("_in", combine("_v").over(inside)).join(prefix, [*keys, "_piece"])
+    joined = same_keys(placed.withColumn("_in", combine("_v").over(inside)), prefix, [*keys, "_piece"])
     both = (F.col("_in") + F.coalesce(F.col("_prefix"), F.lit(0)) if kind == "sum"
             else F.greatest(F.col("_in"), F.col("_prefix")))
     return out.unionByName(joined.select(*cols, both.alias(name)))

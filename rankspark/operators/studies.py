@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ SEALED_LIMITS = {"test": 1}
 PLATEAU_WORDS = ("plateau", "stagnant", "stagnated", "no improvement", "flat")
 
 STUDY = ("study_id",)
+#: Place in the log; decides ties, so ids may be text.
+LOG_ORDER = ("iter", "id")
 
 
 # ---- trajectories -----------------------------------------------------------
@@ -95,28 +99,27 @@ def posterior(scores: str | Column, runs: str | Column) -> tuple[Column, Column]
             F.when(ran, F.lit(RUN_STD) / F.sqrt(runs)).otherwise(PRIOR_STD))
 
 
+def _first_rows(df: DataFrame, study: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
+    """The first ``n`` rows of each study.  The rank limit prunes on the map side, so a large study shuffles only its head."""
+    place = F.row_number().over(Window.partitionBy(*study).orderBy(*order))
+    return df.withColumn("_r", place).where(F.col("_r") <= n).drop("_r")
+
+
 def triage(df: DataFrame, mean: str = "post_mean", std: str = "post_std", keep: int = 3, wildcard: bool = True,
-           study: Sequence[str] = STUDY, order: str = "id") -> DataFrame:
-    """The best ``keep - 1`` by mean plus the most uncertain of the rest."""
+           study: Sequence[str] = STUDY, id: str = "id", order: Sequence[str] = LOG_ORDER) -> DataFrame:
+    """The best ``keep - 1`` by mean plus the most uncertain of the rest; ties go to the earlier in the log."""
     study = list(study)
-    by_mean = Window.partitionBy(*study).orderBy(F.col(mean).desc(), order)
-    # the rank limit prunes on the map side, so a large study shuffles only its head
-    def head(n: int) -> DataFrame:
-        return df.withColumn("_r", F.row_number().over(by_mean)).where(F.col("_r") <= n).drop("_r")
+    by_mean = [F.col(mean).desc(), *order]
     if not wildcard:
-        return head(keep).withColumn("reason", F.lit("mean"))
+        return _first_rows(df, study, by_mean, keep).withColumn("reason", F.lit("mean"))
     sizes = df.groupBy(*study).agg(F.count(F.lit(1)).alias("_n"))
     enough = sizes.where(F.col("_n") > max(keep - 1, 1)).select(*study)
-    few = head(keep).join(enough, study, "left_anti").withColumn("reason", F.lit("mean"))
-    if keep < 2:
-        top = None
-        rest = df.join(enough, study, "left_semi")
-    else:
-        top = head(keep - 1).join(enough, study, "left_semi")
-        rest = df.join(enough, study, "left_semi").join(top.select(*study, order), [*study, order], "left_anti")
-    key = F.struct(F.col(std), F.col(mean), (-F.col(order)).alias("_o"))
-    wild = (rest.groupBy(*study).agg(F.max_by(F.struct(*df.columns), key).alias("_row"))
-            .select("_row.*").withColumn("reason", F.lit("wildcard")))
+    few = _first_rows(df, study, by_mean, keep).join(enough, study, "left_anti").withColumn("reason", F.lit("mean"))
+    rest, top = df.join(enough, study, "left_semi"), None
+    if keep >= 2:
+        top = _first_rows(df, study, by_mean, keep - 1).join(enough, study, "left_semi")
+        rest = rest.join(top.select(*study, id), [*study, id], "left_anti")
+    wild = _first_rows(rest, study, [F.col(std).desc(), F.col(mean).desc(), *order]).withColumn("reason", F.lit("wildcard"))
     out = few.unionByName(wild)
     return out if top is None else out.unionByName(top.withColumn("reason", F.lit("mean")))
 
@@ -131,11 +134,10 @@ def ucb_scores(df: DataFrame, score: str = "primary", visits: str = "visits", se
             .withColumn("ucb", F.when(F.col(visits) == 0, F.lit(float("inf"))).otherwise(value)).drop("_total"))
 
 
-def ucb_pick(df: DataFrame, order: str = "id", study: Sequence[str] = STUDY, **cols) -> DataFrame:
-    """The open node with the highest score; the earliest wins ties."""
-    scored = ucb_scores(df, study=study, **cols)
-    best = F.max_by(F.struct(order, "ucb"), F.struct("ucb", (-F.col(order)).alias("_o")))
-    return scored.groupBy(*study).agg(best.alias("_b")).select(*study, "_b.*")
+def ucb_pick(df: DataFrame, id: str = "id", order: Sequence[str] = LOG_ORDER, study: Sequence[str] = STUDY, **cols) -> DataFrame:
+    """The open node with the highest score; the earliest in the log wins ties."""
+    best = _first_rows(ucb_scores(df, study=study, **cols), study, [F.col("ucb").desc(), *order])
+    return best.select(*study, id, "ucb")
 
 
 def weakest_component(deltas: DataFrame, min_delta: float = WEAKEST_MIN_DELTA, study: Sequence[str] = STUDY) -> DataFrame:
@@ -144,16 +146,18 @@ def weakest_component(deltas: DataFrame, min_delta: float = WEAKEST_MIN_DELTA, s
         F.when(F.max("delta") > min_delta, F.min_by("component", F.struct("delta", "component"))).alias("component"))
 
 
-def champion(df: DataFrame, baseline: float, score: str = "primary", study: Sequence[str] = STUDY) -> DataFrame:
-    best = F.max_by(F.struct("id", "iter", F.col(score).alias("score")), F.struct(F.coalesce(F.col(score), F.lit(0.0)), -F.col("id")))
-    return (df.where("status = 'promoted'").groupBy(*study).agg(best.alias("_b"), F.count(F.lit(1)).alias("promoted"))
-            .select(*study, "_b.*", "promoted", (F.col("_b.score") - F.lit(baseline)).alias("vs_baseline")))
+def champion(df: DataFrame, baseline: float, score: str = "primary", study: Sequence[str] = STUDY, id: str = "id",
+             order: Sequence[str] = LOG_ORDER) -> DataFrame:
+    promoted = df.where("status = 'promoted'")
+    counts = promoted.groupBy(*study).agg(F.count(F.lit(1)).alias("promoted"))
+    best = _first_rows(promoted, study, [F.coalesce(F.col(score), F.lit(0.0)).desc(), *order])
+    return best.join(counts, list(study)).select(*study, id, "iter", F.col(score).alias("score"), "promoted",
+                                                 (F.col(score) - F.lit(baseline)).alias("vs_baseline"))
 
 
 def best_config(grid: DataFrame, by: Sequence[str], config: Sequence[str], score: str) -> DataFrame:
-    """Best configuration per group by validation score; the earliest listed wins ties."""
-    best = F.max_by(F.struct(*config, score), F.struct(F.col(score), *[-F.col(c) for c in config]))
-    return grid.groupBy(*by).agg(best.alias("_b")).select(*by, "_b.*")
+    """Best configuration per group by validation score; ties go to the settings that sort first, numbers or text."""
+    return _first_rows(grid, by, [F.col(score).desc(), *config]).select(*by, *config, score)
 
 
 # ---- policy decisions -------------------------------------------------------
@@ -172,19 +176,26 @@ def global_stop(nodes: DataFrame, budget: int, baseline: float, study: Sequence[
     return per.withColumn("remaining", remaining).withColumn("stop", stop).select(*study, "remaining", "open_nodes", "stop")
 
 
-def refine_triggers(nodes: DataFrame, baseline: float, study: Sequence[str] = STUDY) -> DataFrame:
-    """Per study: enough improve steps since the last refine, and the node to refine."""
-    study = list(study)
-    last = nodes.groupBy(*study).agg(F.max(F.when(F.col("operation") == "refine", F.col("id"))).alias("_last"))
-    since = (nodes.join(last, study).where((F.col("operation") == "improve")
-                                           & (F.col("id") > F.coalesce("_last", F.lit(-1))))
-             .groupBy(*study).agg(F.count(F.lit(1)).alias("improves")))
-    usable = nodes.where((F.col("status").isin("open", "promoted")) & (F.col("runs") > 0)
-                         & (F.col("primary") > baseline + REFINE_MIN_GAIN))
-    target = usable.groupBy(*study).agg(F.max_by("id", F.struct("primary", -F.col("id"))).alias("target"))
+def refine_triggers(nodes: DataFrame, baseline: float, improvements: DataFrame | None = None, study: Sequence[str] = STUDY,
+                    id: str = "id", order: Sequence[str] = LOG_ORDER) -> DataFrame:
+    """Per study: iterations that improved since the last refine in the log, both triggers, and the node to refine.
+
+    ``improvements`` (study, iter, improvement_score) gives the plateau trigger its latest score.
+    """
+    study, at = list(study), F.struct(*order)
+    last = nodes.groupBy(*study).agg(F.max(F.when(F.col("operation") == "refine", at)).alias("_last"))
+    # an iteration counts once, however many candidates it held
+    since = (nodes.join(last, study).where((F.col("operation") == "improve") & (F.col("_last").isNull() | (at > F.col("_last"))))
+             .groupBy(*study).agg(F.count_distinct("iter").alias("improves")))
+    usable = nodes.where((F.col("status") == "open") & (F.col("runs") > 0) & (F.col("primary") > baseline + REFINE_MIN_GAIN))
+    target = _first_rows(usable, study, [F.col("primary").desc(), *order]).select(*study, F.col(id).alias("target"))
     out = last.join(since, study, "left").join(target, study, "left")
-    return out.select(*study, F.coalesce("improves", F.lit(0)).alias("improves"),
-                      (F.coalesce("improves", F.lit(0)) >= REFINE_CADENCE).alias("cadence"), "target")
+    flat = F.lit(None).cast("boolean")
+    if improvements is not None:
+        recent = improvements.groupBy(*study).agg(F.max_by("improvement_score", "iter").alias("_recent"))
+        out, flat = out.join(recent, study, "left"), plateau_trigger(F.col("_recent"))
+    improves = F.coalesce("improves", F.lit(0))
+    return out.select(*study, improves.alias("improves"), (improves >= REFINE_CADENCE).alias("cadence"), flat.alias("plateau"), "target")
 
 
 def plateau_trigger(improvement: Column) -> Column:
@@ -203,23 +214,25 @@ def final_summary(nodes: DataFrame, baseline: float, study: Sequence[str] = STUD
                       "promotions", "iterations")
 
 
-def prior_attempts(nodes: DataFrame, study: Sequence[str] = STUDY) -> DataFrame:
-    """Refine attempts per component in log order: position by running count."""
+def prior_attempts(nodes: DataFrame, study: Sequence[str] = STUDY, order: Sequence[str] = LOG_ORDER) -> DataFrame:
+    """Refine attempts per component in log order, with their mechanism: position by running count."""
     refined = nodes.where("operation = 'refine' AND component IS NOT NULL").withColumn("_one", F.lit(1))
-    return (running(refined, [*study, "component"], ["iter", "id"], "_one", "sum", "attempt")
-            .select(*study, "component", "attempt", "id", "mean_delta"))
+    return (running(refined, [*study, "component"], list(order), "_one", "sum", "attempt")
+            .select(*study, "component", "attempt", "id", "mechanism", "mean_delta"))
 
 
 # ---- roll-ups ---------------------------------------------------------------
 
-def evidence_distribution(nodes: DataFrame, by: Sequence[str] = ("status", "evidence_type"), keep: int = 5) -> DataFrame:
-    """Count per status and evidence type, with the first ids in log order."""
+def evidence_distribution(nodes: DataFrame, by: Sequence[str] = ("status", "evidence_type"), keep: int = 5, id: str = "id",
+                          order: Sequence[str] = LOG_ORDER) -> DataFrame:
+    """Count per status and evidence type, with the first 8 characters of the first ids in log order."""
     rows = nodes.withColumn("evidence_type", F.coalesce("evidence_type", F.lit("-")))
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("nodes"))
-    first = Window.partitionBy(*by).orderBy("iter", "id")
-    head = (rows.select(*by, "iter", "id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= keep)
-            .groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_r", "id"))).alias("_ids")))   # at most ``keep``
-    ids = F.concat_ws(", ", F.transform("_ids", lambda s: s["id"].cast("string")))
+    first = Window.partitionBy(*by).orderBy(*order)
+    short = F.substring(F.col(id).cast("string"), 1, 8).alias("id")
+    head = (rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= keep)
+            .groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_r", short))).alias("_ids")))   # at most ``keep``
+    ids = F.concat_ws(", ", F.transform("_ids", lambda s: s["id"]))
     return counts.join(head, list(by)).select(*by, "nodes", F.concat(
         ids, F.when(F.col("nodes") > keep, "...").otherwise("")).alias("ids"))
 
@@ -255,8 +268,9 @@ def policy_violations(log: DataFrame, limits: dict[str, int] | None = None, spli
 
 def outcome_tally(nodes: DataFrame, by: Sequence[str] = ("study_id", "iter")) -> DataFrame:
     """Why nothing scored: outcome counts of iterations without any score."""
-    silent = nodes.groupBy(*by).agg(F.count("primary").alias("_s")).where("_s = 0").select(*by)
-    return (nodes.join(silent, list(by), "left_semi")
+    silent = nodes.groupBy(*by).agg(F.count("primary").alias("_s")).where("_s = 0").select(*[F.col(c).alias(f"_by_{c}") for c in by])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])   # null is a group too
+    return (nodes.join(silent, same, "left_semi")
             .groupBy(*by, F.coalesce("evidence_type", F.lit("unresolved")).alias("outcome"))
             .agg(F.count(F.lit(1)).alias("nodes")))
 
@@ -292,21 +306,25 @@ def proposal_counts(diagnoses: DataFrame, confidence: str = "confidence", low: f
 
 # ---- lineage ----------------------------------------------------------------
 
-def lineage_roots(nodes: DataFrame, node: str = "id", parent: str = "parent_id", max_rounds: int = 64) -> DataFrame:
+def lineage_roots(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """Root and depth of every node by pointer doubling: log2(depth) joins.
 
     Each round doubles the distance a pointer covers.  The looked-up side has one row per node, so a
-    popular ancestor only skews the other side, which the join splits at run time.
+    popular ancestor only skews the other side, which the join splits at run time.  A depth beyond the number of
+    nodes means that links form a cycle.
     """
     state = pin(nodes.select(F.col(node).alias("id"), F.coalesce(parent, node).alias("up"),
                              F.col(parent).isNotNull().cast("bigint").alias("depth")), "lineage")
-    for _ in range(max_rounds):
+    count = state.count()
+    while True:
         step = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
         far = F.coalesce("_d", F.lit(0))
         moved = pin(state.join(step, "up", "left").select(
             "id", F.coalesce("_up", "up").alias("up"), (F.col("depth") + far).alias("depth"),
             (far > 0).alias("_open")), "lineage")
         state = moved.drop("_open")
-        if moved.where("_open").isEmpty():
+        seen = moved.agg(F.max("depth").alias("deep"), F.bool_or("_open").alias("open")).first()
+        if not seen["open"]:
             return state.select(F.col("id").alias(node), F.col("up").alias("root"), "depth")
-    raise ValueError("parent links form a cycle or are deeper than the round limit allows")
+        if seen["deep"] > count:
+            raise ValueError("parent links form a cycle")

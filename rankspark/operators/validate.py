@@ -11,20 +11,21 @@ from rankspark.functions import is_finite
 from rankspark.operators.metrics import ranking_report
 
 # Outcome statistics that are not known at prediction time.
-NON_CAUSAL_COLUMNS = """
-show_cnt show_user_num play_cnt play_user_num play_duration complete_play_cnt complete_play_user_num
-valid_play_cnt valid_play_user_num long_time_play_cnt long_time_play_user_num short_time_play_cnt
-short_time_play_user_num play_progress comment_stay_duration like_cnt like_user_num click_like_cnt
-double_click_cnt cancel_like_cnt cancel_like_user_num comment_cnt comment_user_num direct_comment_cnt
-reply_comment_cnt delete_comment_cnt delete_comment_user_num comment_like_cnt comment_like_user_num
-follow_cnt follow_user_num cancel_follow_cnt cancel_follow_user_num share_cnt share_user_num download_cnt
-download_user_num report_cnt report_user_num reduce_similar_cnt reduce_similar_user_num collect_cnt
-collect_user_num cancel_collect_cnt cancel_collect_user_num direct_comment_user_num
-reply_comment_user_num share_all_cnt share_all_user_num outsite_share_all_cnt
-""".split()
+NON_CAUSAL_COLUMNS = (
+    "show_cnt", "show_user_num", "play_cnt", "play_user_num", "play_duration", "complete_play_cnt",
+    "complete_play_user_num", "valid_play_cnt", "valid_play_user_num", "long_time_play_cnt", "long_time_play_user_num",
+    "short_time_play_cnt", "short_time_play_user_num", "play_progress", "comment_stay_duration", "like_cnt",
+    "like_user_num", "click_like_cnt", "double_click_cnt", "cancel_like_cnt", "cancel_like_user_num", "comment_cnt",
+    "comment_user_num", "direct_comment_cnt", "reply_comment_cnt", "delete_comment_cnt", "delete_comment_user_num",
+    "comment_like_cnt", "comment_like_user_num", "follow_cnt", "follow_user_num", "cancel_follow_cnt",
+    "cancel_follow_user_num", "share_cnt", "share_user_num", "download_cnt", "download_user_num", "report_cnt",
+    "report_user_num", "reduce_similar_cnt", "reduce_similar_user_num", "collect_cnt", "collect_user_num",
+    "cancel_collect_cnt", "cancel_collect_user_num", "direct_comment_user_num", "reply_comment_user_num",
+    "share_all_cnt", "share_all_user_num", "outsite_share_all_cnt",
+)
 
 # Signals of the same row that may only be loss targets.
-AUXILIARY_SIGNALS = "is_click is_like is_follow is_comment is_forward play_time_ms".split()
+AUXILIARY_SIGNALS = ("is_click", "is_like", "is_follow", "is_comment", "is_forward", "play_time_ms")
 
 PREDICTION_HEADER = "row_id,user_id,video_id,score"
 
@@ -86,9 +87,11 @@ def prediction_violations(lines: DataFrame, expected: DataFrame, user: str = "us
     outer join on the dense position finds missing and surplus lines too.  The label is
     never read.  Each bad line reports the first check it fails.
     """
-    f = F.split("text", ",")
-    got = lines.select("line", F.size(f).alias("n_fields"), F.get(f, 0).alias("s_row"), F.get(f, 1).alias("s_user"),
-                       F.get(f, 2).alias("s_item"), F.get(f, 3).alias("s_score"))
+    # one column more than a line may have: what lands there is surplus
+    f = F.from_csv("text", "s_row string, s_user string, s_item string, s_score string, s_more string", {"escape": '"'})
+    # commas outside quotes: those before which an even number of quotes stands
+    n = F.size(F.split("text", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+    got = lines.select("line", n.alias("n_fields"), f.alias("f")).select("line", "n_fields", "f.s_row", "f.s_user", "f.s_item", "f.s_score")
     want = expected.select(F.col("row_id").alias("line"), F.col(user).cast("string").alias("e_user"),
                            F.col(item).cast("string").alias("e_item"), F.lit(True).alias("_want"))
     both = got.join(want, "line", "full_outer")

@@ -117,7 +117,7 @@ def study_nodes(spark, sf_dir):
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     evidence = F.array(*[F.lit(x) for x in ("invariant", "refuted_under_context", "failed_implementation", "no_op", "timeout")])
     return o.select(
-        F.col("o_orderpriority").alias("study_id"), key.alias("id"),
+        F.col("o_orderpriority").alias("study_id"), key.alias("id"), F.substring(F.md5(key.cast("string")), 1, 12).alias("node"),
         ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")).alias("iter"),
         F.element_at(F.array(F.lit("draft"), F.lit("improve"), F.lit("fix"), F.lit("refine")), (cust % 4 + 1).cast("int")).alias("operation"),
         F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "P", "promoted").otherwise("closed").alias("status"),
@@ -125,6 +125,7 @@ def study_nodes(spark, sf_dir):
         F.when(key % 13 != 0, F.concat(F.lit("c"), (key % 9).cast("string"))).alias("component"),
         F.when(key % 11 != 0, F.round(F.lit(0.5) + (cents % 1000) / 10000.0, 4)).alias("primary"),
         F.when(key % 7 != 0, F.round((cents % 4001 - 3900) / 1000000.0, 6)).alias("mean_delta"),
+        F.when(cust % 10 > 0, F.concat(F.lit("raise c"), (key % 9).cast("string"), F.lit(" by "), (cents % 50).cast("string"))).alias("mechanism"),
         (cust % 5).alias("visits"), (cents % 900).cast("double").alias("seconds"), (key % 4).alias("runs"))
 
 
@@ -132,7 +133,7 @@ def study_iterations(spark, sf_dir):
     """Best score per iteration (no-ops are not evidence) and the clock, which restarts every 20 iterations."""
     n = study_nodes(spark, sf_dir)
     scored = F.when(F.coalesce("evidence_type", F.lit("")) != "no_op", F.col("primary"))
-    return (n.groupBy("study_id", "iter").agg(F.max(F.when(F.col("id") % 3 == 0, scored)).alias("iter_primary"),
+    return (n.groupBy("study_id", "iter").agg(F.max(scored).alias("iter_primary"),
                                               F.count(F.lit(1)).alias("candidates"))
             .withColumn("elapsed_s", ((F.col("iter") % 20 + 1) * 100).cast("double") + F.col("iter") % 7))
 
@@ -160,8 +161,7 @@ def promotion_ladder(spark, sf_dir):
 
 
 def implausible_jumps(spark, sf_dir):
-    nodes = study_nodes(spark, sf_dir).where("component = 'c1'")
-    return X.implausible_scores(nodes, "primary", threshold=0.5995).select("study_id", "iter", "id", "primary")
+    return X.implausible_scores(study_nodes(spark, sf_dir), "primary", threshold=0.5995).select("study_id", "iter", "id", "primary")
 
 
 def wallclock_by_session(spark, sf_dir):
@@ -169,17 +169,18 @@ def wallclock_by_session(spark, sf_dir):
 
 
 def global_stop(spark, sf_dir):
-    nodes = study_nodes(spark, sf_dir).where("id % 5 <> 0 OR status <> 'open'")
-    return X.global_stop(nodes, 85, BASELINE)
+    return X.global_stop(study_nodes(spark, sf_dir), 85, BASELINE)
 
 
 def refine_trigger(spark, sf_dir):
-    return X.refine_triggers(study_nodes(spark, sf_dir), BASELINE)
+    """Nodes are named by text; their place in the log decides."""
+    scores = X.improvement_score(_trajectory(spark, sf_dir), BASELINE)
+    return X.refine_triggers(study_nodes(spark, sf_dir), BASELINE, scores, id="node")
 
 
 def ucb_pick(spark, sf_dir):
-    nodes = study_nodes(spark, sf_dir).where("status = 'open' AND visits > 0")
-    return rounded(X.ucb_pick(nodes), "ucb")
+    nodes = study_nodes(spark, sf_dir).where("status = 'open'")
+    return rounded(X.ucb_pick(nodes, id="node"), "ucb")
 
 
 def ucb_scores(spark, sf_dir):
@@ -190,7 +191,7 @@ def ucb_scores(spark, sf_dir):
 def triage_pick(spark, sf_dir):
     mean, std = X.posterior(F.coalesce("primary", F.lit(0.5)), "runs")
     nodes = study_nodes(spark, sf_dir).where("status = 'open'").withColumn("post_mean", mean).withColumn("post_std", std)
-    return rounded(X.triage(nodes).select("study_id", "id", "post_mean", "post_std", "reason"), "post_mean", "post_std")
+    return rounded(X.triage(nodes, id="node").select("study_id", "node", "post_mean", "post_std", "reason"), "post_mean", "post_std")
 
 
 def weakest_component(spark, sf_dir):
@@ -200,7 +201,7 @@ def weakest_component(spark, sf_dir):
 
 
 def champion(spark, sf_dir):
-    return rounded(X.champion(study_nodes(spark, sf_dir), BASELINE), "vs_baseline")
+    return rounded(X.champion(study_nodes(spark, sf_dir), BASELINE, id="node"), "vs_baseline")
 
 
 def final_summary(spark, sf_dir):
@@ -209,7 +210,7 @@ def final_summary(spark, sf_dir):
 
 def best_config(spark, sf_dir):
     nodes = study_nodes(spark, sf_dir).where("primary IS NOT NULL")
-    grid = nodes.groupBy("study_id", F.col("visits").alias("lr_step"), F.col("runs").alias("negatives")).agg(F.avg("primary").alias("score"))
+    grid = nodes.groupBy("study_id", F.concat(F.lit("x"), F.col("visits").cast("string")).alias("lr_step"), F.col("runs").alias("negatives")).agg(F.avg("primary").alias("score"))
     return rounded(X.best_config(grid, ["study_id"], ["lr_step", "negatives"], "score"), "score")
 
 
@@ -226,15 +227,16 @@ def status_filters(spark, sf_dir):
 # ---- roll-ups and log repair ------------------------------------------------
 
 def evidence_distribution(spark, sf_dir):
-    return X.evidence_distribution(study_nodes(spark, sf_dir))
+    return X.evidence_distribution(study_nodes(spark, sf_dir), id="node")
 
 
 def exhausted_families(spark, sf_dir):
-    return X.exhausted_families(study_nodes(spark, sf_dir).where("id % 17 < 2"))
+    return X.exhausted_families(study_nodes(spark, sf_dir))
 
 
 def outcome_tally(spark, sf_dir):
-    return X.outcome_tally(study_nodes(spark, sf_dir).where("id % 29 < 3"))
+    """An attempt is one component in one iteration and operation."""
+    return X.outcome_tally(study_nodes(spark, sf_dir), by=["study_id", "iter", "component", "operation"])
 
 
 def token_rollup(spark, sf_dir):
@@ -274,7 +276,7 @@ def merged_logs(spark, sf_dir):
     """Two logs of the same ids: the newer log wins, then the later line."""
     ev = T.table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").alias("id"), "event_id", "event_type", "value")
     old = ev.where("event_type <> 'click'").withColumn("log", F.lit(0))
-    new = ev.where("event_type = 'click' AND value > 60").withColumn("log", F.lit(1))
+    new = ev.where("event_type = 'click'").withColumn("log", F.lit(1))
     at = F.struct("log", "event_id")
     return last_per_key(old.unionByName(new).withColumn("at", at), ["id"], "at", ["log", "event_id", "event_type", "value"])
 
@@ -392,7 +394,7 @@ SELECT means.node_id, (SELECT round(avg(delta), 6) FROM deltas d WHERE d.node_id
   (SELECT count(*) FROM deltas d WHERE d.node_id = means.node_id) AS n, round(avg((m > 0)::INT::DOUBLE), 6) AS p_positive,
   round(list_sort(list(m))[26], 6) AS lower_95 FROM means GROUP BY means.node_id"""
 
-NODES = """nodes AS (SELECT o_orderpriority AS study_id, o_orderkey AS id,
+NODES = """nodes AS (SELECT o_orderpriority AS study_id, o_orderkey AS id, substr(md5(o_orderkey::VARCHAR), 1, 12) AS node,
   ((year(o_orderdate) - 1995) * 12 + month(o_orderdate))::INTEGER AS iter,
   (['draft', 'improve', 'fix', 'refine'])[o_custkey % 4 + 1] AS operation,
   CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'promoted' ELSE 'closed' END AS status,
@@ -400,11 +402,12 @@ NODES = """nodes AS (SELECT o_orderpriority AS study_id, o_orderkey AS id,
   CASE WHEN o_orderkey % 13 <> 0 THEN 'c' || (o_orderkey % 9) END AS component,
   CASE WHEN o_orderkey % 11 <> 0 THEN round(0.5::DOUBLE + (cents % 1000) / 10000.0::DOUBLE, 4) END AS "primary",
   CASE WHEN o_orderkey % 7 <> 0 THEN round((cents % 4001 - 3900) / 1000000.0::DOUBLE, 6) END AS mean_delta,
+  CASE WHEN o_custkey % 10 > 0 THEN 'raise c' || (o_orderkey % 9) || ' by ' || (cents % 50) END AS mechanism,
   o_custkey % 5 AS visits, (cents % 900)::DOUBLE AS seconds, o_orderkey % 4 AS runs
   FROM (SELECT *, round(o_totalprice * 100)::BIGINT AS cents FROM orders))"""
 
 ITERS = f"""WITH {NODES}, its AS (SELECT study_id, iter,
-  max(CASE WHEN id % 3 = 0 AND coalesce(evidence_type, '') <> 'no_op' THEN "primary" END) AS iter_primary, count(*) AS candidates,
+  max(CASE WHEN coalesce(evidence_type, '') <> 'no_op' THEN "primary" END) AS iter_primary, count(*) AS candidates,
   ((iter % 20 + 1) * 100)::DOUBLE + iter % 7 AS elapsed_s FROM nodes GROUP BY 1, 2),
 traj AS (SELECT *, greatest({BASELINE}::DOUBLE, max(iter_primary) OVER (PARTITION BY study_id ORDER BY iter
     ROWS UNBOUNDED PRECEDING)) AS rb FROM its)"""
@@ -438,7 +441,7 @@ SQL = {
           PARTITION BY study_id ORDER BY iter, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS prev
         FROM nodes WHERE status = 'promoted') WHERE "primary" > prev""",
     "implausible_jumps": _N + """SELECT study_id, iter, id, "primary" FROM (SELECT *, max("primary") OVER (PARTITION BY study_id
-          ORDER BY iter, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM nodes WHERE component = 'c1')
+          ORDER BY iter, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM nodes)
         WHERE "primary" > 0.8645 OR "primary" > 0.5995::DOUBLE OR "primary" - prev > 0.02::DOUBLE""",
     "wallclock_by_session": ITERS + """ SELECT study_id, sum(e) AS total_s, count(e) AS sessions, count(*) AS iterations,
         round(sum(e) / count(*), 6) AS mean_s FROM (SELECT study_id, CASE WHEN nx IS NULL OR nx < elapsed_s THEN elapsed_s END AS e
@@ -448,48 +451,55 @@ SQL = {
         FROM (SELECT study_id, max(iter) AS last_iter, max(CASE WHEN status = 'open' THEN "primary" END) AS best_open,
           sum((status = 'open')::INT)::BIGINT AS open_nodes,
           greatest(coalesce(max(CASE WHEN status = 'promoted' THEN "primary" END), 0), {BASELINE}::DOUBLE) AS champ
-          FROM nodes WHERE id % 5 <> 0 OR status <> 'open' GROUP BY 1)""",
-    "refine_trigger": _N + f"""SELECT s.study_id, coalesce(c, 0)::BIGINT AS improves, coalesce(c, 0) >= 3 AS cadence, target FROM (SELECT DISTINCT study_id FROM nodes) s
-        LEFT JOIN (SELECT n.study_id, count(*) AS c FROM nodes n JOIN (SELECT study_id, max(CASE WHEN operation = 'refine' THEN id END) AS l FROM nodes GROUP BY 1) x
-          ON x.study_id = n.study_id AND operation = 'improve' AND id > coalesce(l, -1) GROUP BY 1) u USING (study_id)
-        LEFT JOIN (SELECT study_id, id AS target FROM nodes WHERE status IN ('open', 'promoted') AND runs > 0 AND "primary" > {BASELINE}::DOUBLE + 0.0005::DOUBLE
-          QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY "primary" DESC, id) = 1) t USING (study_id)""",
-    "ucb_pick": _N + """SELECT study_id, id, round(ucb, 6) AS ucb FROM (SELECT *, coalesce("primary", 0) + 0.7::DOUBLE * sqrt(ln(sum(visits) OVER (PARTITION BY study_id)) / visits)
-          - 0.05::DOUBLE * (seconds / 60.0::DOUBLE) AS ucb FROM nodes WHERE status = 'open' AND visits > 0)
-        QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY ucb DESC, id) = 1""",
+          FROM nodes GROUP BY 1)""",
+    "refine_trigger": ITERS + f""", imp AS (SELECT study_id, iter, CASE WHEN j = 3 THEN rb - {BASELINE}::DOUBLE WHEN j > 3 THEN rb - back END AS score
+          FROM (SELECT *, row_number() OVER w AS j, lag(rb, 3) OVER w AS back FROM traj WINDOW w AS (PARTITION BY study_id ORDER BY iter))),
+        x AS (SELECT study_id, max(CASE WHEN operation = 'refine' THEN (iter, id) END) AS l FROM nodes GROUP BY 1)
+        SELECT s.study_id, coalesce(c, 0)::BIGINT AS improves, coalesce(c, 0) >= 3 AS cadence,
+          coalesce((SELECT score FROM imp WHERE imp.study_id = s.study_id ORDER BY iter DESC LIMIT 1) <= 0.001::DOUBLE, false) AS plateau, target
+        FROM (SELECT DISTINCT study_id FROM nodes) s
+        LEFT JOIN (SELECT n.study_id, count(DISTINCT iter) AS c FROM nodes n JOIN x
+          ON x.study_id = n.study_id AND operation = 'improve' AND (l IS NULL OR (iter, id) > l) GROUP BY 1) u USING (study_id)
+        LEFT JOIN (SELECT study_id, node AS target FROM nodes WHERE status = 'open' AND runs > 0 AND "primary" > {BASELINE}::DOUBLE + 0.0005::DOUBLE
+          QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY "primary" DESC, iter, id) = 1) t USING (study_id)""",
+    "ucb_pick": _N + """SELECT study_id, node, round(ucb, 6) AS ucb FROM (SELECT *, CASE WHEN visits = 0 THEN 'inf'::DOUBLE ELSE coalesce("primary", 0)
+          + 0.7::DOUBLE * sqrt(ln(sum(visits) OVER (PARTITION BY study_id)) / visits)
+          - 0.05::DOUBLE * (seconds / 60.0::DOUBLE) END AS ucb FROM nodes WHERE status = 'open')
+        QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY ucb DESC, iter, id) = 1""",
     "ucb_scores": _N + """SELECT study_id, id, CASE WHEN visits = 0 THEN 'inf'::DOUBLE ELSE round(coalesce("primary", 0)
           + 0.7::DOUBLE * sqrt(ln(t) / visits) - 0.05::DOUBLE * (seconds / 60.0::DOUBLE), 6) END AS ucb
         FROM (SELECT *, sum(visits) OVER (PARTITION BY study_id) AS t FROM nodes WHERE status = 'open')""",
-    "triage_pick": _N + """, s AS (SELECT study_id, id, CASE WHEN runs > 0 THEN coalesce("primary", 0.5) ELSE 0.5 END AS m,
+    "triage_pick": _N + """, s AS (SELECT study_id, iter, id, node, CASE WHEN runs > 0 THEN coalesce("primary", 0.5) ELSE 0.5 END AS m,
           CASE WHEN runs > 0 THEN 0.02::DOUBLE / sqrt(runs) ELSE 0.2 END AS sd FROM nodes WHERE status = 'open'),
-        r AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY m DESC, id) AS k FROM s)
-        SELECT study_id, id, round(m, 6) AS post_mean, round(sd, 6) AS post_std, reason FROM (
+        r AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY m DESC, iter, id) AS k FROM s)
+        SELECT study_id, node, round(m, 6) AS post_mean, round(sd, 6) AS post_std, reason FROM (
           SELECT *, 'mean' AS reason FROM r WHERE k <= 2 UNION ALL
-          (SELECT *, 'wildcard' AS reason FROM r WHERE k > 2 QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY sd DESC, m DESC, id) = 1))""",
+          (SELECT *, 'wildcard' AS reason FROM r WHERE k > 2 QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY sd DESC, m DESC, iter, id) = 1))""",
     "weakest_component": _N + """, d AS (SELECT study_id, component, max("primary") - avg("primary") - 0.047::DOUBLE AS delta FROM nodes
           WHERE component IS NOT NULL GROUP BY 1, 2)
         SELECT study_id, CASE WHEN max(delta) > 0.005 THEN arg_min(component, (delta, component)) END AS component FROM d GROUP BY 1""",
-    "champion": _N + f"""SELECT study_id, id, iter, "primary" AS score, cnt AS promoted, round("primary" - {BASELINE}::DOUBLE, 6) AS vs_baseline
+    "champion": _N + f"""SELECT study_id, node, iter, "primary" AS score, cnt AS promoted, round("primary" - {BASELINE}::DOUBLE, 6) AS vs_baseline
         FROM (SELECT *, count(*) OVER (PARTITION BY study_id) AS cnt FROM nodes WHERE status = 'promoted')
-        QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY coalesce("primary", 0) DESC, id) = 1""",
+        QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY coalesce("primary", 0) DESC, iter, id) = 1""",
     "final_summary": _N + f"""SELECT study_id, best, round(best - {BASELINE}::DOUBLE, 6) AS vs_baseline, abs(best - {BASELINE}::DOUBLE) < 1e-9 AS still_baseline,
         CASE WHEN seen > best + 1e-9 THEN seen END AS best_unconfirmed, promotions, iterations FROM (
         SELECT study_id, greatest({BASELINE}::DOUBLE, coalesce(max(CASE WHEN status = 'promoted' THEN "primary" END), 0)) AS best,
           max("primary") AS seen, sum((status = 'promoted')::INT)::BIGINT AS promotions, count(DISTINCT iter) AS iterations FROM nodes GROUP BY 1)""",
-    "best_config": _N + """SELECT study_id, lr_step, negatives, round(score, 6) AS score FROM (SELECT study_id, visits AS lr_step, runs AS negatives, avg("primary") AS score
+    "best_config": _N + """SELECT study_id, lr_step, negatives, round(score, 6) AS score FROM (SELECT study_id, 'x' || visits AS lr_step, runs AS negatives, avg("primary") AS score
         FROM nodes WHERE "primary" IS NOT NULL GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY round(score, 12) DESC, lr_step, negatives) = 1""",
     "prior_attempts": _N + """SELECT study_id, component, row_number() OVER (PARTITION BY study_id, component ORDER BY iter, id) AS attempt,
-        id, mean_delta FROM nodes WHERE operation = 'refine' AND component IS NOT NULL""",
+        id, mechanism, mean_delta FROM nodes WHERE operation = 'refine' AND component IS NOT NULL""",
     "status_filters": _N + """SELECT study_id, iter, id, status FROM nodes WHERE status = 'promoted'
         OR (status = 'open' AND runs > 0 AND operation <> 'draft')""",
     "evidence_distribution": _N + """SELECT status, ev AS evidence_type, count(*) AS nodes,
-        array_to_string(list(id ORDER BY iter, id)[:5], ', ') || CASE WHEN count(*) > 5 THEN '...' ELSE '' END AS ids
+        array_to_string(list(substr(node, 1, 8) ORDER BY iter, id)[:5], ', ') || CASE WHEN count(*) > 5 THEN '...' ELSE '' END AS ids
         FROM (SELECT *, coalesce(evidence_type, '-') AS ev FROM nodes) GROUP BY 1, 2""",
     "exhausted_families": _N + """SELECT study_id, component, count(*) AS attempts, sum((status = 'promoted')::INT)::BIGINT AS promotions,
-        greatest(coalesce(max(mean_delta), 0), 0.0) AS best_delta FROM nodes WHERE id % 17 < 2 AND component IS NOT NULL GROUP BY 1, 2
+        greatest(coalesce(max(mean_delta), 0), 0.0) AS best_delta FROM nodes WHERE component IS NOT NULL GROUP BY 1, 2
         HAVING count(*) >= 5 AND greatest(coalesce(max(mean_delta), 0), 0.0) < 0.0002""",
-    "outcome_tally": _N + """, n AS (SELECT * FROM nodes WHERE id % 29 < 3) SELECT study_id, iter, coalesce(evidence_type, 'unresolved') AS outcome, count(*) AS nodes
-        FROM n WHERE (study_id, iter) IN (SELECT (study_id, iter) FROM n GROUP BY study_id, iter HAVING count("primary") = 0) GROUP BY 1, 2, 3""",
+    "outcome_tally": _N + """, n AS (SELECT *, (study_id, iter, coalesce(component, '-'), operation) AS a FROM nodes)
+        SELECT study_id, iter, component, operation, coalesce(evidence_type, 'unresolved') AS outcome, count(*) AS nodes
+        FROM n WHERE a IN (SELECT a FROM n GROUP BY a HAVING count("primary") = 0) GROUP BY 1, 2, 3, 4, 5""",
     "token_rollup": """SELECT coalesce(role, 'TOTAL') AS kind, count(*) AS calls, sum(length(text))::BIGINT AS input_tokens, sum(turn)::BIGINT AS output_tokens,
         (sum(length(text)) + sum(turn))::BIGINT AS total FROM conversations GROUP BY ROLLUP (role)""",
     "budget_counters": "SELECT user_id AS study_id, " + ", ".join(
@@ -504,7 +514,7 @@ SQL = {
         FROM nodes JOIN (SELECT doc_id AS id, regexp_replace(text, '[^ -~]', '?', 'g') AS h FROM documents) USING (id)""",
     "latest_state": """SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
     "merged_logs": """SELECT k AS id, log, event_id, event_type, value FROM (SELECT *, json_extract_string(props, '$.k') AS k, (event_type = 'click')::INTEGER AS log
-        FROM events WHERE event_type <> 'click' OR value > 60) QUALIFY row_number() OVER (PARTITION BY k ORDER BY log DESC, event_id DESC) = 1""",
+        FROM events) QUALIFY row_number() OVER (PARTITION BY k ORDER BY log DESC, event_id DESC) = 1""",
     "tolerant_jsonl": """SELECT (event_id % 50)::INTEGER AS iter, event_id AS id, event_type AS status, value FROM events WHERE event_id % 31 NOT IN (5, 6)""",
     "recovered_records": """SELECT event_id // 8 AS line, sum((event_id % 41 <> 7)::INT)::BIGINT AS records, sum((event_id % 41 = 7)::INT)::BIGINT AS skipped,
         sum(CASE WHEN event_id % 41 <> 7 THEN event_id END)::BIGINT AS id_sum FROM events GROUP BY 1""",

@@ -96,6 +96,13 @@ def test_run_logs(spark, text, code, want):
     assert (r["status"], r["primary"]) == want
 
 
+@pytest.mark.parametrize("mark,want", [("{}", "error"), ('{"loss": 1e999, "primary": 0.5}', "diverged"), ('{"loss": "-inf", "primary": 0.5}', "diverged"),
+                                       ('{"loss": [1], "note": "fine"}', "ok"), ("5", "ok")])
+def test_all_values_of_a_marker_count(spark, mark, want):
+    df = spark.createDataFrame([(1, "primary 0.5\n" + C.METRICS_MARK + mark, 0)], "run_id int, text string, exit_code int")
+    assert C.parse_run_logs(df).first()["status"] == want
+
+
 def test_tolerant_json(spark):
     texts = ['{"a": 1}', 'text ```json\n{"a": 1}\n``` more', 'so {"a": 1} it is', "list [1, 2] here", "nothing"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -101,3 +101,13 @@ def test_scalar_helpers(spark):
     assert (row["i"], row["j"], row["k"]) == (0, 1, 1)
     assert row["l"] == pytest.approx(12 / 23) and row["m"] == 0.25
     assert row["n"] == "a b c" and row["o"] == 1.5
+
+
+def test_null_is_a_heavy_key_like_any_other(spark):
+    df = spark.createDataFrame([(None if i % 2 else "a", i) for i in range(40)], "k string, v bigint")
+    light, heavy = K.split_heavy(df, ["k"], 10)
+    assert light.count() == 0 and heavy.count() == 40
+    got = {(r["k"], r["v"]): r["n"] for r in K.number_within(df, ["k"], ["v"], "n", 10).collect()}
+    assert got == {(None if i % 2 else "a", i): i // 2 for i in range(40)}
+    total = {(r["k"], r["v"]): r["t"] for r in K.running(df, ["k"], ["v"], "v", "sum", "t", 10).collect()}
+    assert total[(None, 39)] == sum(range(1, 40, 2)) and total[("a", 38)] == sum(range(0, 40, 2))

@@ -115,16 +115,16 @@ def test_triage_takes_the_most_uncertain_of_the_rest(spark):
     df = spark.createDataFrame(rows, "study_id string, id int, score double, runs int")
     mean, std = X.posterior("score", "runs")
     df = df.withColumn("post_mean", mean).withColumn("post_std", std)
-    got = {r["id"]: r["reason"] for r in X.triage(df, keep=3).collect()}
+    got = {r["id"]: r["reason"] for r in X.triage(df, keep=3, order=["id"]).collect()}
     assert got == {0: "mean", 1: "mean", 4: "wildcard"}
-    assert {r["id"] for r in X.triage(df.where("id < 2"), keep=3).collect()} == {0, 1}
-    assert {r["id"] for r in X.triage(df, keep=3, wildcard=False).collect()} == {0, 1, 2}
+    assert {r["id"] for r in X.triage(df.where("id < 2"), keep=3, order=["id"]).collect()} == {0, 1}
+    assert {r["id"] for r in X.triage(df, keep=3, wildcard=False, order=["id"]).collect()} == {0, 1, 2}
 
 
 def test_ucb_prefers_unvisited(spark):
     df = spark.createDataFrame([("s", 0, .9, 5, 10.0), ("s", 1, .1, 0, 0.0), ("s", 2, .1, 0, 0.0)],
                                "study_id string, id int, primary double, visits int, seconds double")
-    assert X.ucb_pick(df).first()["id"] == 1
+    assert X.ucb_pick(df, order=["id"]).first()["id"] == 1
     one = X.ucb_scores(df.where("id = 0")).first()["ucb"]
     assert one == pytest.approx(.9 + .7 * math.sqrt(math.log(5) / 5) - .05 * 10 / 60)
 
@@ -153,6 +153,25 @@ def test_refine_trigger(spark):
     assert not low["cadence"] and low["target"] is None
 
 
+def test_text_ids_and_log_order(spark):
+    """Ids are names; the log decides ties."""
+    rows = [("s", "b", 1, 0, "open", .60, "improve", 1, 2, 6.0), ("s", "a", 1, 1, "open", .60, "improve", 1, 2, 6.0), ("s", "fcb3faae", 2, 2, "promoted", .58, "refine", 1, 2, 6.0),
+            ("s", "0aa", 3, 3, "promoted", .58, "improve", 1, 0, 6.0), ("s", "zz", 3, 4, "open", .57, "improve", 0, 0, 6.0)]
+    df = spark.createDataFrame(rows, "study_id string, node string, iter int, seq int, status string, primary double, operation string, runs int, visits int, seconds double")
+    how = {"id": "node", "order": ["iter", "seq"]}
+    assert X.champion(df, .5, **how).first()["node"] == "fcb3faae"
+    assert X.ucb_pick(df.where("status = 'open'"), **how).first()["node"] == "zz"
+    assert X.ucb_pick(df.where("visits > 0"), **how).first()["node"] == "b"
+    mean, std = X.posterior("primary", "runs")
+    picked = X.triage(df.withColumn("post_mean", mean).withColumn("post_std", std), keep=2, **how).collect()
+    assert {r["node"]: r["reason"] for r in picked} == {"b": "mean", "zz": "wildcard"}
+    grid = spark.createDataFrame([("s", "slow", .6), ("s", "fast", .6), ("s", "none", .1)], "study_id string, pace string, score double")
+    assert X.best_config(grid, ["study_id"], ["pace"], "score").first()["pace"] == "fast"
+    scores = spark.createDataFrame([("s", 2, .1), ("s", 3, .0005)], "study_id string, iter int, improvement_score double")
+    r = X.refine_triggers(df, .55, scores, **how).first()
+    assert (r["improves"], r["cadence"], r["plateau"], r["target"]) == (1, False, True, "b")  # two improvements in one iteration
+
+
 def test_sessions(spark):
     df = spark.createDataFrame([("s", i, e) for i, e in enumerate([10.0, 30.0, 5.0, 25.0, 40.0])], "study_id string, iter int, elapsed_s double")
     r = X.session_wallclock(df).first()
@@ -164,7 +183,7 @@ def test_lineage(spark):
     got = {r["id"]: (r["root"], r["depth"]) for r in X.lineage_roots(spark.createDataFrame(rows, "id int, parent_id int")).collect()}
     assert got == {**{i: (0, i) for i in range(37)}, 100: (100, 0), 101: (100, 1)}
     with pytest.raises(ValueError):
-        X.lineage_roots(spark.createDataFrame([(1, 2), (2, 1)], "id int, parent_id int"), max_rounds=3)
+        X.lineage_roots(spark.createDataFrame([(1, 2), (2, 1)], "id int, parent_id int"))
 
 
 def test_exhausted_and_proposals(spark):

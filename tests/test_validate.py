@@ -59,6 +59,15 @@ def test_prediction_files(spark, lines, first):
     assert first is None or (v["first_line"], v["first_violation"]) == first
 
 
+def test_quoted_fields_of_written_predictions(spark, tmp_path):
+    df = spark.createDataFrame([(0, "u,1", 'say "a"', 0.5), (1, "u,1", "b", 0.25)], "row_id bigint, user_id string, item_id string, score double")
+    L.write_predictions(df, str(tmp_path / "out"))
+    lines = L.read_prediction_lines(spark, str(tmp_path / "out"))
+    assert V.prediction_verdict(V.prediction_violations(lines, df)).first()["passed"]
+    bad = lines.where("line = 0").unionByName(spark.createDataFrame([(1, '1,"u,1",b,0.25,more', True)], "line bigint, text string, header_ok boolean"))
+    assert V.prediction_verdict(V.prediction_violations(bad, df)).first()["first_violation"] == "field_count"
+
+
 def test_prediction_file_header(spark, tmp_path):
     (tmp_path / "p.csv").write_text("row_id,user_id,item_id,score\n0,0,1,0.5\n")
     lines = L.read_prediction_lines(spark, str(tmp_path / "p.csv")).collect()
