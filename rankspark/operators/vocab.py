@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.operators.skew import dense_index
+from rankspark.session import pin
 
 UNKNOWN = "UNK"
+#: A field of at most so many values is sent to the tasks.
+BROADCAST_VALUES = 100_000
 
 Fields = Mapping[str, Column]
 
@@ -35,8 +38,9 @@ class CategoricalIndexer:
         # one scan for all fields; the partial minimum runs before the shuffle
         long = train.select(F.struct(*order).alias("_first"), F.explode(cells).alias("c"))
         first = long.groupBy("c.field", "c.value").agg(F.min("_first").alias("_first"))
-        ids = (dense_index(first, ["field", "_first"], "_g")
-               .select("field", "value", (F.col("_g") + F.col("field")).alias("feature_id")))
+        # written once: every field reads its own part, none numbers the values again
+        ids = pin(dense_index(first, ["field", "_first"], "_g")
+                  .select("field", "value", (F.col("_g") + F.col("field")).alias("feature_id")), "ids")
         sizes = {r["field"]: r["n"] for r in
                  ids.groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()}   # one row per field
         return IndexerModel(dict(self.fields), ids, [sizes.get(i, 0) for i in range(len(self.fields))])
@@ -72,7 +76,9 @@ class IndexerModel:
         for i, (name, expr) in enumerate(self.fields.items()):
             side = self.ids.where(F.col("field") == i).select(
                 F.col("value").alias(f"_k{i}"), F.col("feature_id").alias(f"_f{i}"))
+            if self.sizes[i] <= BROADCAST_VALUES:       # a few hot values must not become a shuffle key
+                side = F.broadcast(side)
             out = out.withColumn(f"_k{i}", _text(expr)).join(side, f"_k{i}", "left")
-            out = out.withColumn(f"f_{name}", F.coalesce(F.col(f"_f{i}"), F.lit(self.unknown_ids[i])).cast("int"))
+            out = out.withColumn(f"f_{name}", F.coalesce(F.col(f"_f{i}"), F.lit(self.unknown_ids[i])).cast("bigint"))
             out = out.drop(f"_k{i}", f"_f{i}")
         return out.withColumn(features, F.array(*[f"f_{n}" for n in self.fields]))

@@ -29,7 +29,7 @@ def train_rows(spark, sf_dir):
 # ---- splits -----------------------------------------------------------------
 
 def split_sizes(spark, sf_dir):
-    return P.split_sizes(T.impressions(spark, sf_dir), T.SPLITS, "shown_at", stored_as_time=True)
+    return P.split_sizes(T.shown(spark, sf_dir), T.SPLITS, "shown_at", stored_as_time=True)
 
 
 def valid_subsplits(spark, sf_dir):
@@ -53,7 +53,7 @@ def split_leak_rows(spark, sf_dir):
 
 
 def split_coverage(spark, sf_dir):
-    return P.coverage(T.impressions(spark, sf_dir), T.OFFICIAL, T.SPLITS)
+    return P.coverage(T.shown(spark, sf_dir), T.OFFICIAL, T.SPLITS)
 
 
 def split_round_trip(spark, sf_dir):
@@ -378,7 +378,7 @@ _WIDE = {**_BASE, "brand": "brand", "kind": "kind", "segment": "segment", "natio
 
 
 def _encode_sql(names, exprs, source: str) -> str:
-    cols = ", ".join(f"coalesce(v_{n}.feature_id, (SELECT unk FROM unk WHERE field = '{n}'))::INTEGER AS f_{n}" for n in names)
+    cols = ", ".join(f"coalesce(v_{n}.feature_id, (SELECT unk FROM unk WHERE field = '{n}'))::BIGINT AS f_{n}" for n in names)
     joins = " ".join(f"LEFT JOIN vocab v_{n} ON v_{n}.field = '{n}' AND v_{n}.value = CAST({exprs[n]} AS VARCHAR)"
                      for n in names)
     keys = ", ".join(f"s.{k}" for k in KEY)

@@ -1,7 +1,8 @@
 """Registered ranker queries.
 
-The mapped labels carry no signal, so these report the computation; learning itself is
-tested on a planted-signal fixture.
+The table's own labels carry no signal.  The trained factorization machines therefore learn labels planted by a hash of the item and
+run until early stopping ends them; what they report (rows, users, whether the scores beat chance, whether the best epoch was
+restored) has SQL.  Single updates over the whole train split are compared number by number.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from rankspark.rankers import boost as G
 from rankspark.rankers import fm
 from rankspark.rankers import study as Y
 
-#: Short runs: the queries show the whole computation, not convergence.
-SMALL = fm.FMConfig(k=8, lr=0.02, epochs=2, steps=2, patience=2)
+#: Runs to early stopping.
+TRAINED = fm.FMConfig(k=16, lr=0.02)
+#: Studies of many runs.
+SMALL = fm.FMConfig(k=8, lr=0.02, epochs=2, batch_rows=65536, patience=1)
+STEP = fm.FMConfig(k=3, lr=0.01)
 K = 4
 
 
@@ -36,33 +40,67 @@ def fm_score_relational(spark, sf_dir):
     model = P.base_indexer(rows)
     u = lambda *p: hash_uniform(*p, "feature_id") - 0.5
     params = model.vocabulary().select("feature_id", u(F.lit("w")).alias("w"), *[(u(F.lit("v"), F.lit(j)) * 0.4).alias(f"v{j}") for j in range(K)])
-    seen = model.transform(rows.where("split = 'train'"))
-    return rounded(fm.fm_scores(seen, params, KEY, k=K, bias=0.25), "score")
+    # later splits hold values that train never saw: their unknown slots have no parameters
+    return rounded(fm.fm_scores(model.transform(rows), params, KEY, k=K, bias=0.25), "score")
 
 
-def _run(spark, sf_dir, config):
-    rows = split_impressions(spark, sf_dir)
+def _planted(rows):
+    """Labels that mostly depend on the item."""
+    return rows.withColumn("label", (hash_uniform(F.lit("item"), "item_id") * 0.8 + hash_uniform(F.lit("noise"), *KEY) * 0.2 > 0.6).cast("int"))
+
+
+def _trained(spark, sf_dir, config):
+    rows = _planted(split_impressions(spark, sf_dir))
     indexer = P.base_indexer(rows)
     part = lambda s: indexer.transform(rows.where(F.col("split") == s))
-    model = fm.train_fm(part("train"), part("valid_search"), indexer.dim, 5, "user_id", KEY, config)
+    select = part("valid_search")
+    model = fm.train_fm(part("train"), select, indexer.dim, 5, "user_id", KEY, config)
+    primary = lambda name: ranking_report(model.transform(part(name), KEY), tiebreak=KEY).first()["primary"]
+    chance = ranking_report(select.withColumn("score", hash_uniform(F.lit(0), *KEY)), tiebreak=KEY).first()["primary"]
+    best = max(h[2] for h in model.history)
     test = rows.where("split = 'test'")
-    return ranking_report(model.transform(part("test"), KEY), tiebreak=KEY, counted=test)
+    return test.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("user_id").alias("users")).select(
+        "*", F.lit(best > chance + 0.01).alias("beats_chance"), F.lit(abs(primary("valid_search") - best) < 1e-9).alias("best_restored"),
+        F.lit(0.0 < primary("test") <= 1.0).alias("scored_test"))
 
 
 def fm_pointwise(spark, sf_dir):
-    return _run(spark, sf_dir, SMALL)
+    return _trained(spark, sf_dir, TRAINED)
 
 
 def fm_bpr(spark, sf_dir):
-    return _run(spark, sf_dir, fm.replace(SMALL, loss="bpr"))
+    return _trained(spark, sf_dir, fm.replace(TRAINED, loss="bpr"))
 
 
 def fm_softmax(spark, sf_dir):
-    return _run(spark, sf_dir, fm.replace(SMALL, loss="softmax", negatives=4))
+    return _trained(spark, sf_dir, fm.replace(TRAINED, loss="softmax", negatives=4))
+
+
+def _step(spark, sf_dir, config):
+    """Parameters after one update over all train rows from the hashed start."""
+    rows = split_impressions(spark, sf_dir)
+    indexer = P.base_indexer(rows)
+    train = indexer.transform(rows.where("split = 'train'"))
+    made, slots = fm.examples(train, "user_id", KEY, config, 1, 5)
+    out = fm.full_step(made, indexer.dim, 5, config, slots)
+    return rounded(out, "w", *fm.vector_names(config.k), "bias", "loss")
+
+
+def fm_step_pointwise(spark, sf_dir):
+    return _step(spark, sf_dir, STEP)
+
+
+def fm_step_bpr(spark, sf_dir):
+    return _step(spark, sf_dir, fm.replace(STEP, loss="bpr", negatives=2))
+
+
+def fm_step_softmax(spark, sf_dir):
+    return _step(spark, sf_dir, fm.replace(STEP, loss="softmax", negatives=4))
 
 
 def fm_table_engine(spark, sf_dir):
-    return _run(spark, sf_dir, fm.replace(SMALL, k=4, epochs=1, engine="table"))
+    """The engine that keeps parameters in a table makes the same update."""
+    return _step(spark, sf_dir, fm.replace(STEP, engine="table"))
 
 
 def grid_search(spark, sf_dir):
@@ -78,7 +116,7 @@ def field_ablation(spark, sf_dir):
     train, select = rows.where("split = 'train'"), rows.where("split = 'valid_search'")
     base = P._fields(P._duration_edges(train))
     sets = {m: {**base, **P.named_fields(*extra)} for m, extra in P.FIELD_SETS.items()}
-    return Y.field_set_runs(sets, train, select, {"valid_search": select}, "user_id", KEY, fm.replace(SMALL, epochs=1, steps=1), seeds=(0, 1))
+    return Y.field_set_runs(sets, train, select, {"valid_search": select}, "user_id", KEY, fm.replace(SMALL, epochs=1))
 
 
 def ablation_runs(spark, sf_dir):
@@ -124,11 +162,59 @@ def lambda_gradients(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    pair_sample, fm_score_relational, fm_pointwise, fm_bpr, fm_softmax, fm_table_engine, grid_search, field_ablation,
+    pair_sample, fm_score_relational, fm_pointwise, fm_bpr, fm_softmax, fm_step_pointwise, fm_step_bpr, fm_step_softmax, fm_table_engine, grid_search, field_ablation,
     ablation_runs, oof_scores, gbt_binary, gbt_lambdarank, lambda_gradients)}
 
 _W = f"WITH {S.SPLIT_IMP}"
 _TEXT = " || '|' || ".join(KEY)
+_FIELDS = ", ".join(f"f_{n}" for n in P._BASE)
+
+_TRAINED = _W + """ SELECT count(*) AS "rows", count(DISTINCT user_id) AS users, true AS beats_chance, true AS best_restored, true AS scored_test
+    FROM simp WHERE split = 'test'"""
+
+
+def _step_sql(loss: str, negatives: int = 0) -> str:
+    """Forward pass, gradient and the first Adam update over all train examples."""
+    vs = range(STEP.k)
+    normal = lambda j: (f"{STEP.init_std} * sqrt(-2 * ln(greatest({S.uniform(f"'0|a|' || feature_id || '|{j}'")}, 1e-12)))"
+                        f" * cos(2 * pi() * {S.uniform(f"'0|b|' || feature_id || '|{j}'")})")
+    if loss == "pointwise":
+        slots = f"SELECT {_TEXT} AS ex, 0 AS slot, label, [{_FIELDS}] AS xs FROM enc JOIN train USING ({S.KEY})"
+        graded = "SELECT *, p - label AS g, -(label * ln(p + 1e-9) + (1 - label) * ln(1 - p + 1e-9)) AS lost FROM (SELECT *, 1 / (1 + exp(-z)) AS p FROM z)"
+    else:
+        slots = f"""SELECT * FROM (SELECT DISTINCT p.ex, 0 AS slot, 1 AS label, [{", ".join(f"e.f_{n}" for n in P._BASE)}] AS xs FROM drawn p JOIN enc e USING ({S.KEY}))
+          UNION ALL SELECT ex, draw + 1, 1, [{", ".join(f"e.f_{n}" for n in P._BASE)}] FROM drawn p JOIN enc e ON {" AND ".join(f"p.neg_{k} = e.{k}" for k in KEY)}"""
+        if loss == "bpr":
+            graded = f"""SELECT *, CASE WHEN slot = 0 THEN -sum(r) OVER (PARTITION BY ex) ELSE r END AS g,
+              CASE WHEN slot = 0 THEN 0 ELSE ln(1 + exp(z - z0)) / {negatives} END AS lost
+              FROM (SELECT *, CASE WHEN slot > 0 THEN 1 / (1 + exp(z0 - z)) / {negatives} ELSE 0 END AS r
+                FROM (SELECT *, max(CASE WHEN slot = 0 THEN z END) OVER (PARTITION BY ex) AS z0 FROM z))"""
+        else:
+            graded = """SELECT *, exp(z) / t - (slot = 0)::INT AS g, CASE WHEN slot = 0 THEN ln(t) - z ELSE 0 END AS lost
+              FROM (SELECT *, sum(exp(z)) OVER (PARTITION BY ex) AS t FROM z)"""
+    drawn = "" if loss == "pointwise" else f"""c AS (SELECT user_id, sum(1 - label)::BIGINT AS n FROM train GROUP BY 1 HAVING sum(label) > 0 AND sum(1 - label) > 0),
+      neg AS (SELECT user_id, {S.KEY}, row_number() OVER (PARTITION BY user_id ORDER BY {S.KEY}) - 1 AS k FROM train WHERE label = 0),
+      pos AS (SELECT t.*, draw, {_TEXT} AS ex, ({S.hash32(f"'0|1|' || {_TEXT} || '|' || draw")} * n) >> 32 AS k
+        FROM train t JOIN c USING (user_id), (SELECT unnest(range({negatives}))::INTEGER AS draw) WHERE label = 1),
+      drawn AS (SELECT ex, draw, {", ".join(f"pos.{k}" for k in KEY)}, {", ".join(f"neg.{k} AS neg_{k}" for k in KEY)}
+        FROM pos JOIN neg ON pos.user_id = neg.user_id AND pos.k = neg.k),"""
+    return _W + f""", {P._EDGES}, {P._vocab_sql(P._BASE)},
+      enc AS ({P._encode_sql(list(P._BASE), P._qualified(P._BASE), "train")}), {drawn}
+      params AS (SELECT feature_id, 0.0::DOUBLE AS w, {", ".join(f"{normal(j)} AS v{j}" for j in vs)}
+        FROM (SELECT unnest(range((SELECT max(unk) + 1 FROM unk))) AS feature_id)),
+      slots AS ({slots}),
+      occ AS (SELECT ex, slot, label, unnest(xs) AS feature_id FROM slots),
+      z AS (SELECT ex, slot, label, sum(w) + 0.5 * ({" + ".join(f"pow(sum(v{j}), 2) - sum(v{j} * v{j})" for j in vs)}) AS z,
+        {", ".join(f"sum(v{j}) AS s{j}" for j in vs)} FROM occ JOIN params USING (feature_id) GROUP BY 1, 2, 3),
+      graded AS ({graded}),
+      n AS (SELECT count(DISTINCT ex)::DOUBLE AS n, sum(g) AS gb, sum(lost) AS lost FROM graded),
+      grads AS (SELECT feature_id, sum(g) / any_value(n) AS gw, {", ".join(f"sum(g * s{j}) / any_value(n) AS g{j}" for j in vs)}
+        FROM occ JOIN graded USING (ex, slot), n GROUP BY 1),
+      whole AS (SELECT p.*, coalesce(gw, 0) + {STEP.l2} * w AS gw, {", ".join(f"coalesce(g{j} - gw * v{j}, 0) + {STEP.l2} * v{j} AS g{j}" for j in vs)}
+        FROM params p LEFT JOIN grads USING (feature_id))
+      SELECT feature_id, round(w - {STEP.lr} * gw / (abs(gw) + 1e-8), 6) AS w,
+        {", ".join(f"round(v{j} - {STEP.lr} * g{j} / (abs(g{j}) + 1e-8), 6) AS v{j}" for j in vs)},
+        round({"0.0::DOUBLE" if loss == "bpr" else f"-{STEP.lr} * gb / n"}, 6) AS bias, round(lost / n, 6) AS loss FROM whole, n"""
 
 SQL = {
     "pair_sample": _W + f""", c AS (SELECT user_id, sum(1 - label)::BIGINT AS n FROM train GROUP BY 1 HAVING sum(label) > 0 AND sum(1 - label) > 0),
@@ -140,10 +226,13 @@ SQL = {
     "fm_score_relational": _W + f""", {P._EDGES}, {P._vocab_sql(P._BASE)},
         params AS (SELECT feature_id, {S.uniform("'w|' || feature_id")} - 0.5 AS w, """ + ", ".join(
             f"({S.uniform(chr(39) + f'v|{j}|' + chr(39) + ' || feature_id')} - 0.5) * 0.4 AS v{j}" for j in range(K)) + """ FROM vocab),
-        enc AS (""" + P._encode_sql(list(P._BASE), P._qualified(P._BASE), "train") + f"""),
+        enc AS (""" + P._encode_sql(list(P._BASE), P._qualified(P._BASE), "simp") + f"""),
         slots AS (SELECT {S.KEY}, unnest([f_user_id, f_item_id, f_author_id, f_tab, f_dur_bucket]) AS feature_id FROM enc)
         SELECT {S.KEY}, round(0.25 + sum(w) + 0.5 * (""" + " + ".join(f"pow(sum(v{j}), 2) - sum(v{j} * v{j})" for j in range(K))
-        + f"), 6) AS score FROM slots JOIN params USING (feature_id) GROUP BY {S.KEY}",
+        + f"), 6) AS score FROM slots LEFT JOIN (SELECT feature_id, w, v0, v1, v2, v3 FROM params UNION ALL SELECT unk, 0, 0, 0, 0, 0 FROM unk) USING (feature_id) GROUP BY {S.KEY}",
+    "fm_pointwise": _TRAINED, "fm_bpr": _TRAINED, "fm_softmax": _TRAINED,
+    "fm_step_pointwise": _step_sql("pointwise"), "fm_table_engine": _step_sql("pointwise"),
+    "fm_step_bpr": _step_sql("bpr", 2), "fm_step_softmax": _step_sql("softmax", 4),
     "lambda_gradients": _W + f""", r AS (SELECT user_id, label, {S.KEY}, (item_id % 101) / 10.0::DOUBLE AS s,
           row_number() OVER (PARTITION BY user_id ORDER BY (item_id % 101) / 10.0::DOUBLE DESC, {S.KEY}) - 1 AS p FROM train),
         ideal AS (SELECT user_id, sum(CASE WHEN b < 5 THEN 1 / log2(b + 2) ELSE 0 END) AS m FROM (SELECT user_id, label,

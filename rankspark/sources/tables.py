@@ -65,6 +65,12 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, "order_id")
 
 
+def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each impression was shown, without the other columns and without the orders."""
+    lines = spark.read.schema(SCHEMAS["lineitem"]).parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    return lines.select(F.col("l_shipdate").alias("shown_at"), yyyymmdd("l_shipdate").alias("date"))
+
+
 def event_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a second impression log; the event type is the label, never a feature."""
     return table(spark, sf_dir, "events").select(
