@@ -58,6 +58,12 @@ def hash32(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def hash60(*parts) -> Column:
+    """Like ``hash32`` with 60 bits: so many that rows do not share draws."""
+    text = F.concat_ws("|", *[as_col(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def hash_uniform(*parts) -> Column:
     """Uniform in [0, 1); depends on the row's own key, never on partitioning."""
     return hash32(*parts) / F.lit(float(_UINT32))
@@ -65,23 +71,24 @@ def hash_uniform(*parts) -> Column:
 
 def hash_draw(n, *parts) -> Column:
     """Uniform integer in [0, n)."""
-    return F.shiftright(hash32(*parts) * as_col(n).cast("bigint"), 32)
+    return hash60(*parts) % as_col(n).cast("bigint")
 
 
 #: Prime modulus of the replicate mixer; squares of residues fit a bigint.
 MIX_PRIME = 2147483647
 
 
-def replicate_mix(base, replicate) -> Column:
-    """Pseudo-random integer in [0, MIX_PRIME) per (row hash, replicate).
+def replicate_mix(base, replicate) -> tuple[Column, Column]:
+    """Two pseudo-random integers in [0, MIX_PRIME) per (60-bit row hash, replicate).
 
-    Two quadratic rounds in integer arithmetic: one text hash per row serves every replicate.
+    Quadratic rounds in integer arithmetic: one text hash per row serves every replicate, and all its bits take part.
     """
     p = F.lit(MIX_PRIME).cast("bigint")
-    base, b = as_col(base).cast("bigint") % p, as_col(replicate).cast("bigint")
-    y0 = (base + b * F.lit(1000003).cast("bigint")) % p
-    y1 = (y0 * y0 + base) % p
-    return (y1 * y1 + y0) % p
+    base, b = as_col(base).cast("bigint"), as_col(replicate).cast("bigint")
+    high, low = F.shiftright(base, 30), base.bitwiseAND(F.lit((1 << 30) - 1))
+    x = (low + b * F.lit(1000003).cast("bigint")) % p
+    y = (x * x + high) % p
+    return y, (y * y + low) % p
 
 
 def general_format(x, digits: int = 6) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.functions import MIX_PRIME, hash32, replicate_mix
+from rankspark.functions import MIX_PRIME, hash60, replicate_mix
 from rankspark.operators.skew import number_within
 
 # The decision thresholds.
@@ -19,10 +21,11 @@ NO_OP_EPSILON = 1e-9
 #: Most deltas (about 40 bytes each) the resampling join broadcasts; beyond it both sides shuffle.
 BROADCAST_ROWS = 500_000
 
-#: Cumulative Poisson(1) probabilities; a uniform draw exceeds as many of them as its weight.
+#: Cumulative Poisson(1) probabilities; a uniform draw exceeds as many of them as its weight.  The next one lies beyond the
+#: largest draw below 1.
 POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-               0.999998874797402, 0.9999998885745217)
+               0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991684123)
 
 
 def paired_deltas(scores: DataFrame, pairs: DataFrame, value: str = "primary") -> DataFrame:
@@ -37,40 +40,59 @@ def paired_deltas(scores: DataFrame, pairs: DataFrame, value: str = "primary") -
 
 
 def _lower_bound(means: Column, draws: int) -> Column:
-    """Order statistic int(0.05 * draws), 0-based, of the collected replicate means."""
-    return F.array_sort(F.collect_list(means))[int(0.05 * draws)]
+    """Order statistic int(0.05 * n), 0-based, of the n collected replicate means (a replicate may have drawn nothing)."""
+    sorted_means = F.array_sort(F.collect_list(means))
+    return F.get(sorted_means, F.floor(F.lit(0.05) * F.size(sorted_means)).cast("int"))
+
+
+def _poisson_sums(deltas: DataFrame, by: list[str], order: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """Weights and weighted deltas per (by, replicate): a task sums all replicates of its rows, so only sums are shuffled."""
+    rows = deltas.select(*by, "delta", hash60(F.lit(seed), *by, *order).alias("_h"))
+    schema = rows.select(*by).schema.add("b", "integer").add("w", "double").add("wd", "double")
+    cdf, low, b = np.array(POISSON_CDF), (1 << 30) - 1, np.arange(draws, dtype=np.int64)
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.groupby(by, dropna=False, sort=False):
+                total = np.zeros((2, draws))
+                h, delta = part["_h"].to_numpy(np.int64), part["delta"].to_numpy(np.float64)
+                for at in range(0, len(part), 1000):
+                    own = h[at:at + 1000, None]
+                    x = ((own & low) + b * 1000003) % MIX_PRIME
+                    y = (x * x + (own >> 30)) % MIX_PRIME
+                    draw = ((y * y + (own & low)) % MIX_PRIME) / float(MIX_PRIME)
+                    weight = np.searchsorted(cdf, draw, side="right").astype(np.float64)
+                    total += weight.sum(axis=0), delta[at:at + 1000] @ weight
+                out = pd.concat([part[by].iloc[:1]] * draws, ignore_index=True)
+                yield out.assign(b=b.astype(np.int32), w=total[0], wd=total[1])
+    return rows.mapInPandas(add_up, schema).groupBy(*by, "b").agg(F.sum("w").alias("w"), F.sum("wd").alias("wd"))
 
 
 def paired_bootstrap(deltas: DataFrame, by: Sequence[str] = ("node_id",), draws: int = 500, seed: int = 0,
-                     method: str = "multinomial", order: Sequence[str] = ("seed", "user_id"),
+                     method: str = "poisson", order: Sequence[str] = ("seed", "user_id"),
                      cluster: str | None = None) -> DataFrame:
     """Mean delta, share of replicate means above 0, one-sided 5% lower bound.
 
-    ``multinomial`` resamples n of n with replacement: draws are rows, matched by an equi
-    join on the position.  ``poisson`` weights each row independently per replicate and
-    needs one map-side aggregation; use it when n * draws rows are too many to
-    shuffle.  ``cluster`` averages per that key first, so repeated seeds of a user count once.
+    ``poisson`` (default) weights each row independently per replicate; each task sends one sum per group and
+    replicate.  ``multinomial`` resamples n of n with replacement: draws are rows, matched by an equi
+    join on the position, so n * draws rows are shuffled.  ``cluster`` averages per that key first, so repeated
+    seeds of a user count once.
     """
     by = list(by)
     if cluster:
         deltas = deltas.groupBy(*by, cluster).agg(F.avg("delta").alias("delta"))
         order = [cluster]
-    replicates = F.sequence(F.lit(0), F.lit(draws - 1))
-    total = deltas.count()
-    # every row grows ``draws`` times inside its task, so the small input is spread by its final size
-    tasks = max(deltas.sparkSession.sparkContext.defaultParallelism, total * draws // 4_000_000)
     if method == "poisson":
-        weight = sum(((F.lit(c) <= F.col("_u")).cast("int") for c in POISSON_CDF), F.lit(0))
-        spread = (deltas.repartition(tasks, *by, *order)
-                  .select(*by, "delta", hash32(F.lit(seed), *by, *order).alias("_h"))
-                  .withColumn("b", F.explode(replicates))
-                  .withColumn("_u", replicate_mix("_h", "b") / F.lit(float(MIX_PRIME))).withColumn("_w", weight))
-        means = spread.groupBy(*by, "b").agg((F.sum(F.col("_w") * F.col("delta")) / F.sum("_w")).alias("m"))
+        means = _poisson_sums(deltas, by, order, draws, seed).where("w > 0").select(*by, "b", (F.col("wd") / F.col("w")).alias("m"))
     elif method == "multinomial":
+        replicates, total = F.sequence(F.lit(0), F.lit(draws - 1)), deltas.count()
+        # every row grows ``draws`` times inside its task, so the small input is spread by its final size
+        tasks = max(deltas.sparkSession.sparkContext.defaultParallelism, total * draws // 4_000_000)
         numbered = number_within(deltas.select(*by, *order, "delta"), by, list(order), "_i")
         sizes = deltas.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        pick = replicate_mix("_h", "b") % F.col("_n")
-        picks = (numbered.join(sizes, by).repartition(tasks, *by, "_i").select(*by, "_n", hash32(F.lit(seed), *by, "_i").alias("_h"))
+        first, second = replicate_mix("_h", "b")
+        pick = (first * F.lit(1 << 31) + second) % F.col("_n")      # 62 bits: any position can be drawn
+        picks = (numbered.join(sizes, by).repartition(tasks, *by, "_i").select(*by, "_n", hash60(F.lit(seed), *by, "_i").alias("_h"))
                  .withColumn("b", F.explode(replicates)).select(*by, "b", pick.alias("_i")))
         values = numbered.select(*by, "_i", "delta")
         # draws outnumber values by ``draws`` to one: keep them in place while the values are few
@@ -79,7 +101,7 @@ def paired_bootstrap(deltas: DataFrame, by: Sequence[str] = ("node_id",), draws:
         means = picks.join(values, [*by, "_i"]).groupBy(*by, "b").agg(F.avg("delta").alias("m"))
     else:
         raise ValueError(f"unknown method {method!r}")
-    # exactly ``draws`` rows per group from here on
+    # at most ``draws`` rows per group from here on
     stats = means.groupBy(*by).agg(F.avg((F.col("m") > 0).cast("double")).alias("p_positive"),
                                    _lower_bound(F.col("m"), draws).alias("lower_95"))
     centre = deltas.groupBy(*by).agg(F.avg("delta").alias("mean_delta"), F.count(F.lit(1)).alias("n"))

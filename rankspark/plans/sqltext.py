@@ -28,6 +28,10 @@ def hash32(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
+def hash60(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
 def uniform(text: str) -> str:
     return f"({hash32(text)} / 4294967296.0::DOUBLE)"
 
@@ -66,10 +70,9 @@ def report(source: str = "um", by: str = "") -> str:
     avg(ndcg) AS ndcg, count(*) AS users, sum(n)::BIGINT AS "rows" FROM {source}{tail})"""
 
 
-def replicate_mix(base: str, b: str) -> str:
+def replicate_mix(base: str, b: str) -> tuple[str, str]:
     """functions.replicate_mix in SQL."""
-    p = "2147483647"
-    h = f"(({base}) % {p})"
-    y0 = f"(({h} + {b} * 1000003) % {p})"
-    y1 = f"(({y0} * {y0} + {h}) % {p})"
-    return f"(({y1} * {y1} + {y0}) % {p})"
+    p, low = "2147483647", f"({base} & 1073741823)"
+    x = f"(({low} + {b} * 1000003) % {p})"
+    y = f"(({x} * {x} + ({base} >> 30)) % {p})"
+    return y, f"(({y} * {y} + {low}) % {p})"

@@ -65,7 +65,13 @@ def clustered_bootstrap(spark, sf_dir):
 
 
 def poisson_bootstrap(spark, sf_dir):
-    out = B.paired_bootstrap(pin(_deltas(spark, sf_dir)), method="poisson")
+    """Other draws than the default's."""
+    out = B.paired_bootstrap(pin(_deltas(spark, sf_dir)), draws=200, seed=1)
+    return rounded(out, "mean_delta", "p_positive", "lower_95")
+
+
+def multinomial_bootstrap(spark, sf_dir):
+    out = B.paired_bootstrap(pin(_deltas(spark, sf_dir)), method="multinomial")
     return rounded(out, "mean_delta", "p_positive", "lower_95")
 
 
@@ -335,7 +341,7 @@ def lineage(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    paired_deltas, paired_bootstrap, clustered_bootstrap, poisson_bootstrap, no_op_candidates, seed_mean_spread,
+    paired_deltas, paired_bootstrap, clustered_bootstrap, poisson_bootstrap, multinomial_bootstrap, no_op_candidates, seed_mean_spread,
     component_ablation, decision_continue, decision_confirm, decision_promote, running_best, improvement_score,
     plateau_flag, promotion_ladder, implausible_jumps, wallclock_by_session, global_stop, refine_trigger,
     ucb_pick, ucb_scores, triage_pick, weakest_component, champion, final_summary, best_config, prior_attempts,
@@ -368,15 +374,28 @@ rep AS (SELECT node_id, seed, (coalesce(sum(CASE WHEN pos > 0 AND pos < n THEN p
     / sum(CASE WHEN pos > 0 AND pos < n THEN pos END), 0.5) + avg(ndcg)) / 2 AS pr FROM um GROUP BY 1, 2)"""
 
 
-def _boot_sql(split: str, cluster: bool = False) -> str:
+def _multinomial_means() -> str:
+    first, second = S.replicate_mix("h", "b")
+    return f"""hashed AS (SELECT node_id, n, {S.hash60("'0|' || node_id || '|' || i")} AS h FROM num),
+pick AS (SELECT node_id, b, ({first}::BIGINT * 2147483648 + {second}) % n AS j FROM hashed, (SELECT unnest(range(500)) AS b)),
+means AS (SELECT pick.node_id, b, avg(delta) AS m FROM pick JOIN num ON pick.node_id = num.node_id AND j = i GROUP BY 1, 2)"""
+
+
+def _poisson_means(key: str, draws: int, seed: int) -> str:
+    weight = " + ".join(f"({c}::DOUBLE <= u)::INT" for c in B.POISSON_CDF)
+    return f"""hashed AS (SELECT node_id, delta, {S.hash60(f"'{seed}|' || node_id || '|' || {key}")} AS h FROM num),
+w AS (SELECT node_id, b, delta, {S.replicate_mix("h", "b")[1]} / 2147483647.0::DOUBLE AS u FROM hashed, (SELECT unnest(range({draws})) AS b)),
+means AS (SELECT node_id, b, sum(k * delta) / sum(k) AS m FROM (SELECT node_id, b, delta, {weight} AS k FROM w) GROUP BY 1, 2)"""
+
+
+def _boot_sql(split: str, cluster: bool = False, method: str = "poisson", draws: int = 500, seed: int = 0) -> str:
     source = "(SELECT node_id, user_id, 0 AS seed, avg(delta) AS delta FROM deltas GROUP BY 1, 2)" if cluster else "deltas"
+    means = _multinomial_means() if method == "multinomial" else _poisson_means("user_id" if cluster else "seed || '|' || user_id", draws, seed)
     return _scored_sql(split) + f""",
-num AS (SELECT node_id, delta, row_number() OVER (PARTITION BY node_id ORDER BY seed, user_id) - 1 AS i,
+num AS (SELECT node_id, seed, user_id, delta, row_number() OVER (PARTITION BY node_id ORDER BY seed, user_id) - 1 AS i,
     count(*) OVER (PARTITION BY node_id) AS n FROM {source}),
-hashed AS (SELECT node_id, n, {S.hash32("'0|' || node_id || '|' || i")} AS h FROM num),
-pick AS (SELECT node_id, b, {S.replicate_mix("h", "b")} % n AS j FROM hashed, (SELECT unnest(range(500)) AS b)),
-means AS (SELECT pick.node_id, b, avg(delta) AS m FROM pick JOIN num ON pick.node_id = num.node_id AND j = i GROUP BY 1, 2),
-low AS (SELECT node_id, m FROM (SELECT node_id, m, row_number() OVER (PARTITION BY node_id ORDER BY m) AS r FROM means) WHERE r = 26),
+{means},
+low AS (SELECT node_id, m FROM (SELECT node_id, m, row_number() OVER (PARTITION BY node_id ORDER BY m) AS r FROM means) WHERE r = {int(0.05 * draws) + 1}),
 boot AS (SELECT node_id, (SELECT avg(delta) FROM num WHERE num.node_id = means.node_id) AS mean_delta,
     (SELECT count(*) FROM num WHERE num.node_id = means.node_id) AS n, avg((m > 0)::INT::DOUBLE) AS p_positive,
     (SELECT m FROM low WHERE low.node_id = means.node_id) AS lower_95 FROM means GROUP BY node_id)"""
@@ -385,15 +404,6 @@ boot AS (SELECT node_id, (SELECT avg(delta) FROM num WHERE num.node_id = means.n
 _BOOT_OUT = """ SELECT node_id, round(mean_delta, 6) AS mean_delta, n, round(p_positive, 6) AS p_positive,
     round(lower_95, 6) AS lower_95 FROM boot"""
 
-_POISSON = _scored_sql("valid_search") + f""",
-hashed AS (SELECT node_id, delta, {S.hash32("'0|' || node_id || '|' || seed || '|' || user_id")} AS h FROM deltas),
-w AS (SELECT node_id, b, delta, {S.replicate_mix("h", "b")} / 2147483647.0::DOUBLE AS u FROM hashed, (SELECT unnest(range(500)) AS b)),
-means AS (SELECT node_id, b, sum(k * delta) / sum(k) AS m FROM (SELECT node_id, b, delta, """ + " + ".join(
-    f"({c}::DOUBLE <= u)::INT" for c in B.POISSON_CDF) + """ AS k FROM w) GROUP BY 1, 2)
-SELECT means.node_id, (SELECT round(avg(delta), 6) FROM deltas d WHERE d.node_id = means.node_id) AS mean_delta,
-  (SELECT count(*) FROM deltas d WHERE d.node_id = means.node_id) AS n, round(avg((m > 0)::INT::DOUBLE), 6) AS p_positive,
-  round(list_sort(list(m))[26], 6) AS lower_95 FROM means GROUP BY means.node_id"""
-
 NODES = """nodes AS (SELECT o_orderpriority AS study_id, o_orderkey AS id, substr(md5(o_orderkey::VARCHAR), 1, 12) AS node,
   ((year(o_orderdate) - 1995) * 12 + month(o_orderdate))::INTEGER AS iter,
   (['draft', 'improve', 'fix', 'refine'])[o_custkey % 4 + 1] AS operation,
@@ -418,7 +428,8 @@ SQL = {
     "paired_deltas": _scored_sql("valid_search") + " SELECT node_id, parent_id, seed, user_id, round(delta, 6) AS delta FROM deltas",
     "paired_bootstrap": _boot_sql("valid_search") + _BOOT_OUT,
     "clustered_bootstrap": _boot_sql("valid_search", True) + _BOOT_OUT,
-    "poisson_bootstrap": _POISSON,
+    "poisson_bootstrap": _boot_sql("valid_search", draws=200, seed=1) + _BOOT_OUT,
+    "multinomial_bootstrap": _boot_sql("valid_search", method="multinomial") + _BOOT_OUT,
     "no_op_candidates": _scored_sql("valid_search") + """ SELECT node_id, max(abs(delta)) < 1e-9 AS no_op, count(*) AS shared
         FROM deltas WHERE seed = 0 GROUP BY 1""",
     "seed_mean_spread": _scored_sql("valid_search") + """ SELECT node_id, round(avg(pr), 6) AS mean, round(stddev_pop(pr), 6) AS spread,

@@ -194,7 +194,7 @@ def _step_sql(loss: str, negatives: int = 0) -> str:
               FROM (SELECT *, sum(exp(z)) OVER (PARTITION BY ex) AS t FROM z)"""
     drawn = "" if loss == "pointwise" else f"""c AS (SELECT user_id, sum(1 - label)::BIGINT AS n FROM train GROUP BY 1 HAVING sum(label) > 0 AND sum(1 - label) > 0),
       neg AS (SELECT user_id, {S.KEY}, row_number() OVER (PARTITION BY user_id ORDER BY {S.KEY}) - 1 AS k FROM train WHERE label = 0),
-      pos AS (SELECT t.*, draw, {_TEXT} AS ex, ({S.hash32(f"'0|1|' || {_TEXT} || '|' || draw")} * n) >> 32 AS k
+      pos AS (SELECT t.*, draw, {_TEXT} AS ex, {S.hash60(f"'0|1|' || {_TEXT} || '|' || draw")} % n AS k
         FROM train t JOIN c USING (user_id), (SELECT unnest(range({negatives}))::INTEGER AS draw) WHERE label = 1),
       drawn AS (SELECT ex, draw, {", ".join(f"pos.{k}" for k in KEY)}, {", ".join(f"neg.{k} AS neg_{k}" for k in KEY)}
         FROM pos JOIN neg ON pos.user_id = neg.user_id AND pos.k = neg.k),"""
@@ -219,7 +219,7 @@ def _step_sql(loss: str, negatives: int = 0) -> str:
 SQL = {
     "pair_sample": _W + f""", c AS (SELECT user_id, sum(1 - label)::BIGINT AS n FROM train GROUP BY 1 HAVING sum(label) > 0 AND sum(1 - label) > 0),
         neg AS (SELECT user_id, {S.KEY}, row_number() OVER (PARTITION BY user_id ORDER BY {S.KEY}) - 1 AS k FROM train WHERE label = 0),
-        pos AS (SELECT t.*, draw, ({S.hash32(f"'7|1|' || {_TEXT} || '|' || draw")} * n) >> 32 AS k
+        pos AS (SELECT t.*, draw, {S.hash60(f"'7|1|' || {_TEXT} || '|' || draw")} % n AS k
           FROM train t JOIN c USING (user_id), (SELECT unnest([0, 1])::INTEGER AS draw) WHERE label = 1)
         SELECT pos.user_id, {", ".join(f"pos.{k}" for k in KEY)}, draw, {", ".join(f"neg.{k} AS neg_{k}" for k in KEY)}
         FROM pos JOIN neg ON pos.user_id = neg.user_id AND pos.k = neg.k""",
