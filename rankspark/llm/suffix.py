@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,12 @@ from rankspark.session import pin
 LENGTH = 100
 KEY = 24
 #: Bytes of documents that a task sorts as one run; positions within a run need 24 bits.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 6 << 20
 #: Bytes of input per range of the exchange.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
 CHUNK = 1 << 18
+#: Entries of a range that are merged at a time (more only if they share one hash).
+AT_ONCE = 20_000
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,6 +67,21 @@ def key_hashes(data: np.ndarray) -> np.ndarray:
     return _joined(h[:len(h) - 8], eight[16:16 + len(h) - 8])
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Anchors have low hashes; this makes them even over all 64 bits, one to one."""
+    h = h * _MIX
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _hashes_of_rows(rows: np.ndarray) -> np.ndarray:
+    """The hash of the first KEY bytes of each row, spread."""
+    h = rows[:, :KEY].astype(np.uint64) + np.uint64(1)
+    while h.shape[1] > 3:
+        h = _joined(h[:, ::2], h[:, 1::2])
+    return _spread(_joined(_joined(h[:, 0], h[:, 1]), h[:, 2]))
+
+
 def _lowest(keys: np.ndarray, width: int) -> np.ndarray:
     n, low = 1, keys
     while 2 * n <= width:
@@ -94,7 +112,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
         new = np.concatenate(([True], (place[1:] != place[:-1]) | first_of_doc[windows[1:]]))
         begin = np.flatnonzero(new)
         last = np.append(begin[1:], len(windows)) - 1
-        parts.append((place[begin], h[place[begin] - at], windows[begin], windows[last]))
+        parts.append((place[begin], _spread(h[place[begin] - at]), windows[begin], windows[last]))
     if not parts:
         return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -113,11 +131,16 @@ def _strings(rows: np.ndarray) -> np.ndarray:
 
 def _suffixes(padded: np.ndarray, place: np.ndarray, reach: np.ndarray, length: int) -> np.ndarray:
     """``reach`` bytes from each place, then zeros."""
-    out = padded[place[:, None] + np.arange(length)]
-    out[np.arange(length) >= reach[:, None]] = 0
+    out = sliding_window_view(padded, length)[place]
+    out[np.arange(length, dtype=np.int16) >= reach.astype(np.int16)[:, None]] = 0
     return out
 
 
+def _before(padded: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """``size`` bytes in front of each place, nearest first."""
+    return np.ascontiguousarray(sliding_window_view(padded, size)[place - size][:, ::-1])
+
+
 def repeats(common: np.ndarray, before: np.ndarray, mask: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
     """Which windows of entries in suffix order have an equal one of lower rank: bits like ``mask`` (rows x span booleans by distance).
 
@@ -179,7 +202,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays one behind the other, compressed; their sizes in front."""
     head = np.array([x.nbytes for x in arrays], np.int64).tobytes()
     body = head + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
-    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(body, asbytes=True)
 
 
 def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
@@ -192,7 +215,7 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-_SEGMENT = ("u8", "i8", "i8", "i4", "u1", "u1", "u1", "u1", "u1", "u1")
+_SEGMENT = ("i8", "i8", "i4", "u1", "u1", "u1", "u1", "u1", "u1")
 
 
 def _sorted_run(run: _Run, length: int, ranges: int) -> Iterator[tuple[int, bytes]]:
@@ -223,7 +246,7 @@ def _sorted_run(run: _Run, length: int, ranges: int) -> Iterator[tuple[int, byte
         mask[twin] = mask[moved]
         suffix = suffix[sub]
         common = np.concatenate(([0], np.where(h[twin][1:] == h[twin][:-1], _common(suffix[1:], suffix[:-1]), 0)))
-        before = padded[(place[twin] + span - 1)[:, None] - np.arange(span - 1)]
+        before = _before(padded, place[twin] + span, span - 1)
         known = repeats(common, before, mask[twin], _ordered(doc[twin], seq[twin], at[twin]), length)
         found = _windows(known, doc[twin], seq[twin], at[twin])
         for part in np.array_split(np.arange(len(found)), -(-len(found) // 50_000)) if len(found) else []:
@@ -245,22 +268,22 @@ def _segment(padded, place, h, doc, seq, at, mask, near, far, length) -> bytes:
     span = length - KEY + 1
     size = length - near  # bytes of the suffix that windows reach
     suffix = _suffixes(padded, place + span, size, length)
-    before = padded[(place + span - 1)[:, None] - np.arange(span - 1)]
+    before = _before(padded, place + span, span - 1)
     common = np.concatenate(([0], np.where(h[1:] == h[:-1], _common(suffix[1:], suffix[:-1]), 0)))
     kept = np.minimum(common, size)
     column = np.arange(length)
     tail = suffix[(column >= kept[:, None]) & (column < size[:, None])]
     front = before[np.arange(span - 1) < far[:, None]]
     partial = ~(mask == ((np.arange(span) >= near[:, None]) & (np.arange(span) <= far[:, None]))).all(axis=1)
-    return _pack(h, doc, seq, at.astype(np.int32), near.astype(np.uint8), far.astype(np.uint8), kept.astype(np.uint8),
+    return _pack(doc, seq, at.astype(np.int32), near.astype(np.uint8), far.astype(np.uint8), kept.astype(np.uint8),
                  np.concatenate((partial.astype(np.uint8), np.packbits(mask[partial], axis=1).ravel())), tail, front)
 
 
 def _read_segment(blob: bytes, length: int):
     """Inverse of _segment; suffixes padded with zeros."""
     span = length - KEY + 1
-    h, doc, seq, at, near, far, kept, marks, tail, front = _unpack(blob, *_SEGMENT)
-    n = len(h)
+    doc, seq, at, near, far, kept, marks, tail, front = _unpack(blob, *_SEGMENT)
+    n = len(doc)
     near, far, kept = near.astype(np.int64), far.astype(np.int64), kept.astype(np.int64)
     mask = (np.arange(span) >= near[:, None]) & (np.arange(span) <= far[:, None])
     partial = np.flatnonzero(marks[:n])
@@ -273,6 +296,7 @@ def _read_segment(blob: bytes, length: int):
         suffix[i, :kept[i]] = suffix[i - 1, :kept[i]]
     before = np.zeros((n, span - 1), np.uint8)
     before[np.arange(span - 1) < far[:, None]] = front
+    h = _hashes_of_rows(suffix)
     common = np.concatenate(([0], np.where(h[1:] == h[:-1], _common(suffix[1:], suffix[:-1]), 0))) if n else np.empty(0, np.int64)
     return h, doc, seq, at.astype(np.int64), mask, suffix, before, common
 
@@ -335,34 +359,46 @@ class LoserTree:
                 node //= 2
 
 
-def _merge(blobs: list[bytes], length: int) -> pd.DataFrame:
-    """Windows of one range that stand earlier in another run."""
+def _merge(blobs: list[bytes], length: int) -> Iterator[pd.DataFrame]:
+    """Windows of one range that stand earlier in another run, some thousand entries at a time."""
     parts = [_read_segment(b, length) for b in blobs]
-    h = np.concatenate([p[0] for p in parts])
-    value, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-    several = n[inverse] > 1
-    runs, shared, kept, at = [], [], [], 0
-    for p in parts:
-        mine = np.flatnonzero(several[at:at + len(p[0])])
-        at += len(p[0])
-        if not len(mine):
-            continue
-        suffix = p[5][mine]
-        wide = np.zeros((len(mine), -(-length // 8) * 8), np.uint8)
+    value, n = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
+    value, n = value[n > 1], n[n > 1]  # entries alone with their hash leave
+    if not len(value):
+        return
+    kept = []
+    while parts:
+        p = parts.pop()
+        mine = np.flatnonzero(value[np.minimum(np.searchsorted(value, p[0]), len(value) - 1)] == p[0])
+        if len(mine):
+            # what an entry shares with the last one kept: the least of all steps between them
+            common = np.minimum.reduceat(p[7][:mine[-1] + 1], np.concatenate(([0], mine[:-1] + 1)))
+            kept.append((*(x[mine] for x in p[:7]), common))
+    cuts = value[np.flatnonzero(np.diff(np.cumsum(n) // AT_ONCE, prepend=-1))]
+    for low, high in zip(cuts, [*cuts[1:], None], strict=True):
+        runs = []
+        for k in kept:
+            a, b = np.searchsorted(k[0], low), len(k[0]) if high is None else np.searchsorted(k[0], high)
+            if a < b:
+                runs.append(tuple(x[a:b] for x in k))
+        if runs:
+            yield _merge_runs(runs, length)
+
+
+def _merge_runs(parts: list[tuple], length: int) -> pd.DataFrame:
+    runs, shared = [], []
+    for h, *_, suffix, _, common in parts:
+        wide = np.zeros((len(h), -(-length // 8) * 8), np.uint8)
         wide[:, :length] = suffix
-        words = np.concatenate((p[0][mine][:, None], wide.view(">u8").astype(np.uint64)), axis=1)
-        # what an entry shares with the last one kept: the least of all steps between them
-        common = np.minimum.reduceat(p[7][:mine[-1] + 1], np.concatenate(([0], mine[:-1] + 1)))
-        equal = np.concatenate(([False], p[0][mine][1:] == p[0][mine][:-1]))
+        words = np.concatenate((h[:, None], wide.view(">u8").astype(np.uint64)), axis=1)
+        equal = np.concatenate(([False], h[1:] == h[:-1]))
         runs.append(list(map(tuple, words.tolist())))
         shared.append(np.where(equal, 1 + np.where(common >= length, words.shape[1] - 1, common // 8), 0).tolist())
-        kept.append(tuple(x[mine] for x in p[1:7]))
-    if len(runs) < 1:
-        return _windows(np.zeros((0, 1), bool), *[np.empty(0, np.int64)] * 3)
     base = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
     merged = np.array([(base[r] + i, same) for r, i, same in LoserTree(runs, shared).merged()], np.int64)
+    del runs, shared
     order = merged[:, 0]
-    doc, seq, place, mask, suffix, before = (np.concatenate([k[j] for k in kept])[order] for j in range(6))
+    doc, seq, place, mask, suffix, before = (np.concatenate([k[j] for k in parts])[order] for j in range(1, 7))
     # whole words are known to be shared; the last bytes are counted in the first word that differs
     known = np.maximum(merged[:, 1] - 1, 0) * 8
     common = np.where(merged[:, 1] > 0, np.minimum(known, length), 0)
@@ -372,8 +408,7 @@ def _merge(blobs: list[bytes], length: int) -> pd.DataFrame:
         more[1:] &= suffix[np.arange(1, len(c)), c[1:]] == suffix[np.arange(len(c) - 1), c[1:]]
         more[:1] = False
         common = common + more
-    found = repeats(common, before, mask, _ordered(doc, seq, place), length)
-    return _windows(found, doc, seq, place)
+    return _windows(repeats(common, before, mask, _ordered(doc, seq, place), length), doc, seq, place)
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -414,12 +449,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN
                     yield pd.DataFrame(dict(zip(("doc", "seq", "first", "last"), _unpack(segment, "i8", "i8", "i8", "i8"), strict=True)))
                     continue
                 if r != number and held:
-                    yield _merge(held, length)
+                    yield from _merge(held, length)
                     held = []
                 number = r
                 held.append(segment)
         if held:
-            yield _merge(held, length)
+            yield from _merge(held, length)
     return dealt.mapInPandas(merge, "doc long, seq long, first long, last long")
 
 
