@@ -36,6 +36,8 @@ SEED = "mix"
 CHUNKS = 4096
 #: Slots that one row stands for before it is exploded.
 RANGE = 4096
+#: Slots that a task enumerates.
+TASK_SLOTS = 250_000
 #: A table of so many sources at most is broadcast.
 FEW_SOURCES = 10_000
 #: Four primes; a block count below 10^24 is divisible by three of them at most.
@@ -65,21 +67,34 @@ def _number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def permuted(i: Column, n: Column, name: Column, seed: str) -> Column:
-    """A permutation of 0 .. n-1: three affine maps modulo n, between them a mix of the numbers below the largest power of two."""
-    bits = F.length(F.bin(n)) - 1
-    low = F.expr("1L") * F.pow(F.lit(2), bits).cast("long")
+def keys_of_permutation(df: DataFrame, n: str, name: str, seed: str) -> DataFrame:
+    """``df`` with the column ``key``: what ``permuted`` needs to know for a permutation of 0 .. n-1 of its own, once per row of ``df``."""
+    own, bits = F.col(name), F.length(F.bin(F.col(n))) - 1
     prime = F.lit(PRIMES[-1])
     for p in reversed(PRIMES[:-1]):
-        prime = F.when(n % p != 0, F.lit(p)).otherwise(prime)
-    x = i
+        prime = F.when(F.col(n) % p != 0, F.lit(p)).otherwise(prime)
+    return df.withColumn("key", F.struct(
+        F.col(n).alias("n"), prime.cast("long").alias("prime"), F.pow(F.lit(2), bits).cast("long").alias("low"),
+        F.pow(F.lit(2), F.ceil(bits / 2)).cast("long").alias("half"),
+        *[_number(F.lit(seed), F.lit(str(r)), own).alias(f"plus{r}") for r in range(3)],
+        *[(_number(F.lit(seed), F.lit(f"odd{r}"), own) % 1_000_000 * 2 + 1).alias(f"odd{r}") for r in range(2)]))
+
+
+def permuted(df: DataFrame, i: str, out: str) -> DataFrame:
+    """``out``: a permutation of i = 0 .. key.n - 1: three affine maps modulo n, between them a mix of the numbers below the largest power of two.
+
+    Step after step is a column of its own, so none is computed twice.
+    """
+    x, k = F.col(i), F.col("key")
     for r in range(3):
-        x = (x * prime + _number(F.lit(seed), F.lit(str(r)), name)) % n
+        df = df.withColumn(f"__x{r}", (x * k["prime"] + k[f"plus{r}"]) % k["n"])
+        x = F.col(f"__x{r}")
         if r < 2:
-            odd = _number(F.lit(seed), F.lit(f"odd{r}"), name) % 1_000_000 * 2 + 1
-            y = (x * odd) % low
-            x = F.when(x < low, y.bitwiseXOR(F.floor(y / F.pow(F.lit(2), F.ceil(bits / 2))).cast("long"))).otherwise(x)
-    return x
+            df = df.withColumn(f"__y{r}", (x * k[f"odd{r}"]) % k["low"])
+            y = F.col(f"__y{r}")
+            df = df.withColumn(f"__z{r}", F.when(x < k["low"], y.bitwiseXOR(F.expr(f"__y{r} div key.half"))).otherwise(x))
+            x = F.col(f"__z{r}")
+    return df.withColumn(out, x).drop(*[f"__{c}{r}" for c in "xyz" for r in range(3)])
 
 
 @dataclass
@@ -116,7 +131,8 @@ def mix(docs: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_id",
     cut = (placed.where("size > 0").select("s", "start", "size", "id", F.explode(F.sequence(first, last)).alias("block"))
            .withColumn("from", F.greatest("start", F.col("block") * block))
            .withColumn("to", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)))
-    pieces = (cut.join(slots, ["s", "block"]).withColumn("n", F.least("to", F.col("block") * block + F.col("upto")) - F.col("from")).where("n > 0")
+    # the planner takes exploded rows for as few as the rows before; neither side has a bound, so neither is broadcast
+    pieces = (cut.hint("merge").join(slots.hint("merge"), ["s", "block"]).withColumn("n", F.least("to", F.col("block") * block + F.col("upto")) - F.col("from")).where("n > 0")
               .select("s", "start", "size", "id", "pass", "shard", "slot", (F.col("from") - F.col("start")).alias("first"), "n"))
     return Mix(placed, slots, pieces)
 
@@ -128,21 +144,26 @@ def _slots(targets: DataFrame, block: int, shards: int, seed: str) -> DataFrame:
         (full + (rest_len > 0).cast("long")).alias("blocks"), F.floor(F.col("want") / F.col("source_size")).alias("passes"),
         (F.col("want") % F.col("source_size")).alias("rest"))
     t = t.withColumn("n", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block)).where("n > 0")
+    slots = t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    tasks = int(slots // TASK_SLOTS + 1)  # few rows stand for many slots, so their number must not decide the tasks
     # the draw: every slot picks its shard; one count per source and shard is kept
     ranges = (t.select("s", "name", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RANGE))).alias("r"))
-              .repartition("s", "r"))
+              .repartition(tasks, "s", "r"))
     one = ranges.select("s", F.explode(F.sequence(F.col("r") * RANGE, F.least(F.col("n"), (F.col("r") + 1) * RANGE) - 1)).alias("draw"), "name")
     drawn = (one.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("name"), F.col("draw")), F.lit(shards)).cast("int"))
              .groupBy("s", "shard").agg(F.count("*").alias("count")))
     before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     counted = drawn.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    numbered = counted.join(t, "s").withColumn("slot", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("count") - 1)))
+    known = keys_of_permutation(t.withColumn("full1", F.greatest("full", F.lit(1))), "full1", "name", seed)
+    numbered = counted.join(known, "s").repartition(tasks, "s", "shard").withColumn("slot", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("count") - 1)))
     at = numbered.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("i", F.col("slot") % F.col("blocks"))
-    b = F.when(F.col("i") < F.col("full"), permuted(F.col("i"), F.greatest(F.col("full"), F.lit(1)), F.col("name"), seed)).otherwise(F.col("full"))
+    at = permuted(at, "i", "p")
+    b = F.when(F.col("i") < F.col("full"), F.col("p")).otherwise(F.col("full"))
     whole = F.when(F.col("i") < F.col("full"), F.lit(block)).otherwise(F.col("short"))
     left = F.col("rest") - F.col("i") * block  # of the pass that isn't whole
     upto = F.when(F.col("pass") < F.col("passes"), whole).otherwise(F.least(whole, left))
-    return at.select("s", "pass", b.alias("block"), "shard", "slot", upto.alias("upto"))
+    # never null: else the join would ask for that before the steps above, by computing all of them in one filter
+    return at.select("s", "pass", F.coalesce(b, F.lit(0)).alias("block"), "shard", "slot", upto.alias("upto"))
 
 
 def taken_words(mixed: Mix, keep: list[str]) -> DataFrame:
@@ -164,6 +185,6 @@ def mixed_documents(docs: DataFrame, keep: list[str], text: str = "text", doc_id
     row = made.placed.where("size > 0").select("s", "start", F.col("k0").alias("__row"))
     found = F.regexp_extract_all(F.col(f"`{text}`").cast("string"), F.lit(TOKEN), F.lit(0))
     some = F.array_join(F.flatten(F.transform("stretches", lambda x: F.slice(F.col("__words"), x["first"].cast("int") + 1, x["n"].cast("int")))), " ")
-    taken = passes.join(row, ["s", "start"]).select("__row", "pass", "stretches", (F.col("taken") == F.col("size")).alias("whole"))
+    taken = passes.join(row.hint("merge"), ["s", "start"]).select("__row", "pass", "stretches", (F.col("taken") == F.col("size")).alias("whole"))
     joined = rows.join(taken, "__row").withColumn("__words", F.when(~F.col("whole"), found))
     return joined.withColumn(text, F.when(F.col("whole"), F.col(f"`{text}`")).otherwise(some)).select(*[F.col(f"`{c}`") for c in keep])

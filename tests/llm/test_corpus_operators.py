@@ -330,8 +330,8 @@ def test_mixed_texts_hold_the_words_taken(spark, docs, rows):
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000, 1000003])
 def test_permutation(spark, n):
     from pyspark.sql import functions as F
-    df = spark.range(min(n, 5000)).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("name"), "s").alias("p"))
-    got = [r["p"] for r in df.collect()]
+    df = spark.range(min(n, 5000)).withColumn("n", F.lit(n).cast("long")).withColumn("name", F.lit("name"))
+    got = [r["p"] for r in mixing.permuted(mixing.keys_of_permutation(df, "n", "name", "s"), "id", "p").collect()]
     assert len(set(got)) == len(got) and min(got) >= 0 and max(got) < n
 
 
