@@ -361,14 +361,14 @@ class LoserTree:
 
 def _merge(blobs: list[bytes], length: int) -> Iterator[pd.DataFrame]:
     """Windows of one range that stand earlier in another run, some thousand entries at a time."""
-    parts = [_read_segment(b, length) for b in blobs]
-    value, n = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
+    # read twice: first for the hashes alone, then one segment at a time for the entries that stay
+    value, n = np.unique(np.concatenate([_read_segment(b, length)[0] for b in blobs]), return_counts=True)
     value, n = value[n > 1], n[n > 1]  # entries alone with their hash leave
     if not len(value):
         return
     kept = []
-    while parts:
-        p = parts.pop()
+    for b in blobs:
+        p = _read_segment(b, length)
         mine = np.flatnonzero(value[np.minimum(np.searchsorted(value, p[0]), len(value) - 1)] == p[0])
         if len(mine):
             # what an entry shares with the last one kept: the least of all steps between them
