@@ -57,7 +57,8 @@ class Terms:
 
     def __init__(self, kept: list[int] | None = None):
         self.place = None if kept is None else {h: i for i, h in enumerate(kept)}
-        self.known: dict[bytes, list] = {}
+        self.known: dict[bytes, list | tuple] = {}
+        self.most = REMEMBERED if kept is not None else REMEMBERED // 8  # all numbers of a word take far more room than the few kept
 
     def _of_word(self, word: bytes) -> list[tuple[str, list[int | None]]]:
         """(start, its number or place per count) of the starts that matter."""
@@ -78,9 +79,9 @@ class Terms:
         for w, n in found.items():
             own = known.get(w)
             if own is None:
-                if len(known) >= REMEMBERED:
+                if len(known) >= self.most:
                     known.clear()
-                own = known[w] = self._of_word(w)
+                own = known[w] = self._of_word(w) or ()
             for start, at in own:
                 counts[start] += n
                 numbers[start] = at
