@@ -14,6 +14,9 @@ its suffix (LENGTH bytes from the anchor), the bytes before it, and the distance
 4. In merged order, two windows at distance o are equal if their suffixes share LENGTH - o bytes and the o bytes before agree; both are read off common
    prefix lengths of the two orders.  Of equal windows the earliest (smallest id, then place) stays.
 
+A phrase that is the anchor of very many differing windows would bring all its entries into one task.  Hashes of more than ``AT_ONCE`` entries, counted
+first, leave this way: their windows are dealt by a 128-bit hash of the whole window, so equal ones still meet and the others spread.
+
 Defined cases: null texts are empty; documents with a null id come after all others; documents with equal ids are ordered by a
 row number given when the table is written once; repeated rows are documents of their own; texts shorter than LENGTH lose nothing; an
 empty table gives no rows; extra columns pass through when named in ``keep``.
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,8 @@ RANGE_BYTES = 16 << 20
 CHUNK = 1 << 18
 #: Entries of a range that are merged at a time (more only if they share one hash).
 AT_ONCE = 20_000
+#: Ranges of windows of frequent hashes for each range of the exchange; a window takes about 40 bytes.
+FAN = 4
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -218,12 +224,17 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
 _SEGMENT = ("i8", "i8", "i4", "u1", "u1", "u1", "u1", "u1", "u1")
 
 
-def _sorted_run(run: _Run, length: int, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """(range, segment) of one run.  Ranges from ``ranges`` on hold windows that repeat within the run, to be passed on."""
-    span = length - KEY + 1
+def _laid(run: _Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a run, with the starts and sizes of its documents."""
     sizes = np.fromiter(map(len, run.texts), np.int64, len(run.texts))
-    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    data = np.frombuffer(b"".join(run.texts), np.uint8)
+    return np.frombuffer(b"".join(run.texts), np.uint8), np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes
+
+
+def _sorted_run(run: _Run, length: int, ranges: int, hot: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """(range, segment) of one run.  Ranges from ``ranges`` on hold windows that repeat within the run, to be passed on; those from
+    2 * ``ranges`` on the windows of the frequent hashes ``hot``."""
+    span = length - KEY + 1
+    data, starts, sizes = _laid(run)
     place, h, first, last = anchors(data, starts, sizes, length)
     if not len(place):
         return
@@ -253,6 +264,10 @@ def _sorted_run(run: _Run, length: int, ranges: int) -> Iterator[tuple[int, byte
             rows = found.iloc[part]
             yield ranges + int(rows["doc"].iloc[0]) % ranges, _pack(*(rows[c].to_numpy(np.int64) for c in rows.columns))
         mask[twin] &= ~known
+    if hot is not None and len(hot):
+        often = np.flatnonzero(np.isin(h, hot))
+        yield from _dealt_windows(data, place[often], doc[often], seq[often], at[often], mask[often], length, ranges)
+        mask[often] = False
     stay = np.flatnonzero(mask.any(axis=1))
     place, h, doc, seq, at, mask, near, far = (x[stay] for x in (place, h, doc, seq, at, mask, near, far))
     target = ((h >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
@@ -263,6 +278,29 @@ def _sorted_run(run: _Run, length: int, ranges: int) -> Iterator[tuple[int, byte
             yield r, _segment(padded, place[a:b], h[a:b], doc[a:b], seq[a:b], at[a:b], mask[a:b], near[a:b], far[a:b], length)
 
 
+def _dealt_windows(data, place, doc, seq, at, mask, length, ranges) -> Iterator[tuple[int, bytes]]:
+    """(range, packed windows) by the hash of each window marked in ``mask``."""
+    e, o = np.nonzero(mask)
+    if not len(e):
+        return
+    whole, digest = data.tobytes(), xxhash.xxh3_128_digest
+    names = np.frombuffer(b"".join(digest(whole[a:a + length]) for a in (place[e] - o).tolist()), "<u8").reshape(-1, 2)
+    target = (names[:, 0] % np.uint64(FAN * ranges)).astype(np.int64)
+    order = np.argsort(target, kind="stable")
+    cuts = np.flatnonzero(np.diff(target[order], prepend=-1))
+    for part in np.split(order, cuts[1:]):
+        k = e[part]
+        yield 2 * ranges + int(target[part[0]]), _pack(names[part, 0], names[part, 1], doc[k], seq[k], at[k] - o[part])
+
+
+def _later_windows(blobs: list[bytes]) -> pd.DataFrame:
+    """Of equal windows all but the earliest."""
+    first, second, doc, seq, at = (np.concatenate(x) for x in zip(*(_unpack(b, "u8", "u8", "i8", "i8", "i8") for b in blobs), strict=True))
+    order = np.lexsort((at, seq, doc, second, first))
+    again = order[1:][(first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])]
+    return _windows(np.ones((len(again), 1), bool), doc[again], seq[again], at[again])
+
+
 def _segment(padded, place, h, doc, seq, at, mask, near, far, length) -> bytes:
     """Front-coded: of each suffix only what follows the prefix it shares with the one before."""
     span = length - KEY + 1
@@ -411,19 +449,15 @@ def _merge_runs(parts: list[tuple], length: int) -> pd.DataFrame:
     return _windows(repeats(common, before, mask, _ordered(doc, seq, place), length), doc, seq, place)
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES, at_once: int = AT_ONCE) -> DataFrame:
     """(doc, seq, first, last): stretches of window starts at which a window repeats an earlier one.  ``docs``: doc, seq, text."""
     if not KEY < length <= 255 or run_bytes >= 1 << 24:
         raise ValueError(f"a window has {KEY + 1} to 255 bytes, a run less than 2^24")
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     ranges = max(1, -(-total // range_bytes))
 
-    def sort(batches) -> Iterator[pd.DataFrame]:
+    def runs(batches) -> Iterator[_Run]:
         run = _Run()
-
-        def out():
-            rows = list(_sorted_run(run, length, ranges)) if run.bytes else []
-            return pd.DataFrame({"range": [r for r, _ in rows], "segment": [s for _, s in rows]})
         for batch in batches:
             for doc, seq, text in zip(batch["doc"], batch["seq"], batch["text"], strict=True):
                 data = text.encode("utf-8") if text else b""
@@ -432,34 +466,52 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN
                 for at in range(0, len(data) - length + 1, run_bytes - length + 1):  # a longer document is cut; every window is in one piece
                     piece = data[at:at + run_bytes]
                     if run.bytes and run.bytes + len(piece) > run_bytes:
-                        yield out()
+                        yield run
                         run = _Run()
                     run.add(doc, seq, at, piece)
-        yield out()
+        if run.bytes:
+            yield run
+
+    def count(batches) -> Iterator[pd.DataFrame]:
+        for run in runs(batches):
+            h, n = np.unique(anchors(*_laid(run), length)[1], return_counts=True)
+            yield pd.DataFrame({"h": h[n > 1].view(np.int64), "n": n[n > 1]})  # those alone in a run are at most one per run
+
+    # at most one in at_once of all entries
+    often = docs.mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > at_once).collect()
+    hot = np.array([r["h"] for r in often], np.int64).view(np.uint64)
+
+    def sort(batches) -> Iterator[pd.DataFrame]:
+        for run in runs(batches):
+            rows = list(_sorted_run(run, length, ranges, hot))
+            yield pd.DataFrame({"range": [r for r, _ in rows], "segment": [s for _, s in rows]})
 
     dealt = docs.mapInPandas(sort, "range int, segment binary")
     dealt = dealt.repartition(ranges, "range").sortWithinPartitions("range")
 
+    def settled(number: int, held: list[bytes]) -> Iterator[pd.DataFrame]:
+        return _merge(held, length) if number < ranges else iter([_later_windows(held)])
+
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[bytes] = []
         number = None
         for batch in batches:
             for r, segment in zip(batch["range"], batch["segment"], strict=True):
-                if r >= ranges:
+                if ranges <= r < 2 * ranges:
                     yield pd.DataFrame(dict(zip(("doc", "seq", "first", "last"), _unpack(segment, "i8", "i8", "i8", "i8"), strict=True)))
                     continue
                 if r != number and held:
-                    yield from _merge(held, length)
+                    yield from settled(number, held)
                     held = []
                 number = r
                 held.append(segment)
         if held:
-            yield from _merge(held, length)
+            yield from settled(number, held)
     return dealt.mapInPandas(merge, "doc long, seq long, first long, last long")
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
-                   run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+                   run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES, at_once: int = AT_ONCE) -> DataFrame:
     """``keep`` columns (all by default) with n_bytes, n_removed, n_spans and kept, the bytes that no earlier string of ``length`` bytes covers."""
     keep = docs.columns if keep is None else keep
     last = F.lit((1 << 63) - 1)
@@ -469,7 +521,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, doc_id: str =
         own = own.withColumn("seq", F.lit(0).cast("long"))
     else:
         own = pin(own.withColumn("seq", F.monotonically_increasing_id()), "numbered")
-    found = repeated_windows(own.select("doc", "seq", "text"), length, run_bytes, range_bytes)
+    found = repeated_windows(own.select("doc", "seq", "text"), length, run_bytes, range_bytes, at_once)
     marks = found.groupBy("doc", "seq").agg(F.collect_list(F.shiftleft("first", 32) + F.col("last")).alias("stretches"))
 
     def make():

@@ -413,6 +413,25 @@ def test_suffix_dedup_of_repeated_and_null_ids(spark):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
 
+def test_windows_of_a_frequent_anchor_spread(spark):
+    """One short phrase in many contexts: its windows are dealt to many ranges, and what repeats is found as before."""
+    rng = random.Random(8)
+    phrase = "this very phrase stands in all of them"
+    rows = [(i, prose(rng, 30) + f" {i} " + phrase + f" {i} " + prose(rng, 30)) for i in range(200)]
+    rows += [(1000 + i, rows[3 * i][1]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    made = suffix.remove_repeats(df, ["doc_id"], run_bytes=4000, range_bytes=4000, at_once=50)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in made.collect()} == brute_repeats(rows, 100)
+    run = suffix._Run()
+    for i, t in rows[:200]:
+        run.add(i, 0, 0, t.encode())
+    h, n = np.unique(suffix.anchors(*suffix._laid(run), 100)[1], return_counts=True)
+    assert n.max() >= 100
+    dealt = list(suffix._sorted_run(run, 100, 4, h[n > 50]))
+    merged = [x for r, b in dealt if r < 4 for x in suffix._read_segment(b, 100)[0].tolist()]
+    assert not set(merged) & set(h[n > 50].tolist()) and len({r for r, _ in dealt if r >= 8}) == 4 * suffix.FAN
+
+
 def test_loser_tree_merges_and_reports_shared_words():
     rng = random.Random(4)
     runs = [sorted(tuple(rng.randrange(3) for _ in range(4)) for _ in range(rng.randrange(9))) for _ in range(7)]
