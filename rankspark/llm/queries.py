@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import decontam, mixing, quality, sharding, simhash, suffix, tokencounts, topk, toxicity, urls
+from rankspark.llm import decontam, hostrules, mixing, quality, runs, sharding, simhash, suffix, tokencounts, topk, toxicity, turntrie, urls
 from rankspark.session import pin, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,10 +86,49 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document (by the hash of its id) gets a periodic end first."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string"))).withColumn("g", F.floor(F.col("h") / 10))
+    planted = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(mixing.TOKEN), F.lit(0)))
+    docs = docs.withColumn("w", planted).withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    docs = docs.withColumn("p", F.when(F.col("n") > 0, period))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    rewritten = F.array_join(F.transform("w", lambda x, i: F.get("w", place(i).cast("int"))), " ")
+    found = runs.periodic_runs(docs.select("doc_id", F.when(F.col("n") > 0, rewritten).otherwise(F.col("text")).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.col("best")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+                        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source."""
+    found = hostrules.judged(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    failed = F.array_contains("failed", "few_words") | F.array_contains("failed", "repeats")
+    return found.select("doc_id", *hostrules.MEASURES, failed.alias("base_failed"), (~failed & ~F.col("host_rejected")).alias("kept"))
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are rebuilt: the first h turns come from the conversation of the next smaller id divisible by five."""
+    turns = pin(turntrie.numbered_turns(read(spark, sf_dir, "conversations")), "turns")
+    sizes = pin(turns.groupBy("conv").agg(F.max("pos").alias("n")), "sizes")
+    base, h = F.col("conv") - F.col("conv") % 5, F.crc32(F.col("conv").cast("string")) % 9
+    convs = sizes.select("conv", base.alias("base"), h.alias("h"))
+    heads = turns.where("pos <= 8").select(F.col("conv").alias("base"), "pos", "x", "y", "bytes").join(convs, "base").where("pos <= h").select("conv", "pos", "x", "y", "bytes")
+    lent = sizes.select(F.col("conv").alias("base"), F.col("n").alias("lent"))
+    own = turns.withColumns({"base": base, "h": h}).where("pos > h").join(lent, "base", "left")
+    moved = F.col("pos") - F.col("h") + F.least("h", F.coalesce("lent", F.lit(0)))
+    rebuilt = heads.unionByName(own.select("conv", moved.alias("pos"), "x", "y", "bytes"))
+    return turntrie.turn_trie(pin(rebuilt, "rebuilt"), sizes)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination, "op2_url_filter": op2_url_filter, "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding,
-    "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk,
+    "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk, "op11_periodic_runs": op11_periodic_runs, "op12_host_rules": op12_host_rules,
+    "op13_turn_trie": op13_turn_trie,
 }
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -135,7 +174,58 @@ select p.doc_id, p.size, p.source_size, p.target,
        (case when p.size = 0 then 0 else p.size * (want // source_size) + coalesce(extra.n, 0) end)::bigint as taken
 from p left join extra on p.s = extra.s and p.start = extra.start and p.size > 0"""
 
+#: CRC-32 of the decimal digits of {0}, unsigned.
+_CRC = """xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split({0}::varchar, ''), lambda x: ascii(x)::bigint),
+       lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
+
+
+def _host_sql() -> str:
+    """Measures within the text, rates per host and rule, the verdict."""
+    names = list(hostrules.RULES)
+    count = ", ".join(f"count(*) filter ({fails})::double as f_{r}" for r, (fails, _) in hostrules.RULES.items())
+    sums = ", ".join(f"sum(f_{r}) / sum(n) as m_{r}, sum(f_{r} * f_{r} / n) as ff_{r}, sum(f_{r}) as fa_{r}" for r in names)
+    parts = ", ".join(f"(ff_{r} - m_{r} * fa_{r}) / (hosts - 1) as b_{r}, (fa_{r} - ff_{r}) / (a - hosts) as w_{r}" for r in names)
+    below = {r: f"(b_{r} + ((a - nn / a) / (hosts - 1) - 1) * w_{r})" for r in names}
+    strength = ", ".join(f"case when hosts > 1 and a > hosts and {below[r]} > 0 then 1 / greatest({hostrules.LEAST}, least({hostrules.MOST}, (b_{r} - w_{r}) / {below[r]})) - 1 "
+                         f"else {hostrules.LONE} end as s_{r}" for r in names)
+    bad = " or ".join(f"(f_{r} + m_{r} * s_{r}) / (n + s_{r}) > {most}" for r, (_, most) in hostrules.RULES.items())
+    return rf"""
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+     g as (select r, i, array_to_string(w[i:i + 4], ' ') as g from (select r, w, unnest(range(1, len(w) - 3)) as i from d)),
+     twice as (select r, i from (select r, i, count(*) over (partition by r, g) as c from g) where c > 1),
+     rep as (select r, count(distinct x) as n from (select r, unnest(range(i, i + 5)) as x from twice) group by r),
+     m as (select d.r, doc_id, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+                  (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+                  coalesce(n, 0)::bigint as n_repeat_words from d left join rep on d.r = rep.r),
+     h as (select source, count(*)::double as n, {count} from m group by source),
+     s as (select count(*) as hosts, sum(n) as a, sum(n * n) as nn, {sums} from h),
+     p as (select *, {parts} from s),
+     q as (select *, {strength} from p),
+     v as (select source, {bad} as bad from h, q),
+     f as (select m.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, bad from m join v on m.source is not distinct from v.source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not bad as kept from f"""
+
+
+_TRIE_SQL = f"""
+with t as (select conv_id as c, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} as u, turn from conversations where conv_id is not null),
+     l as (select c, list(u order by turn nulls first, u.r, u.t) as w from t group by c),
+     k as (select c, c - c % 5 as base, {_CRC.format('c')} % 9 as h, w from l),
+     b as (select k.c, list_concat(coalesce(o.w[1:k.h], []), k.w[k.h + 1:]) as w from k left join l o on o.c = k.base),
+     p as (select c, d, w[1:d] as path, len(w) = d as ends from (select c, w, unnest(range(0, len(w) + 1)) as d from b)),
+     n as (select path, d, min(c) as conv_id, count(*) as n_convs, coalesce(strlen(path[d].t), 0) as bytes,
+                  coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '') as ids from p group by path, d),
+     kids as (select path[1:d - 1] as path, count(*) as n from n where d > 0 group by 1),
+     a as (select n.*, coalesce(kids.n, 0) as n_children from n left join kids on n.path = kids.path),
+     below as (select path[1:x] as path, sum((n_children = 0)::int) as n_leaves, sum((n_convs - 1) * bytes) as saved
+               from (select *, unnest(range(0, d + 1)) as x from a) group by 1)
+select a.conv_id, a.d::bigint as depth, up.conv_id as parent_conv_id, a.n_convs, a.n_children::bigint as n_children, below.n_leaves::bigint as n_leaves,
+       below.saved::bigint as saved_tokens, sha256(a.ids) as ends_sha256
+from a join below on a.path = below.path left join a up on a.d > 0 and up.path = a.path[1:a.d - 1]"""
+
 SQL: dict[str, str] = {
+    "op12_host_rules": _host_sql(),
+    "op13_turn_trie": _TRIE_SQL,
     "op1_decontamination": f"""
 with d as (select doc_id, coalesce({_WORDS.format('text')}, []) as w from documents),
      i as (select item_id, {_WORDS.format('text')} as w from benchmark where text is not null),

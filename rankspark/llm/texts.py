@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 #: Rows of an Arrow batch that are turned into Python values at a time.
 SLICE = 1000
@@ -31,11 +31,12 @@ def tokens(text: str | None) -> list[bytes]:
 
 #: Spark type -> Arrow type of the columns that ``add_columns`` can make.
 _ARROW = {"long": "int64", "int": "int32", "double": "float64", "string": "string", "binary": "binary", "boolean": "bool"}
+_ARRAYS = {"array<string>": ("string", StringType()), "array<long>": ("int64", LongType())}
 
 
 def _arrow_type(name: str):
     import pyarrow as pa
-    return pa.list_(pa.string()) if name == "array<string>" else pa.type_for_alias(_ARROW[name])
+    return pa.list_(pa.type_for_alias(_ARRAYS[name][0])) if name in _ARRAYS else pa.type_for_alias(_ARROW[name])
 
 
 def add_columns(df: DataFrame, new: dict[str, str], read: list[str], make: Callable[[], Callable]) -> DataFrame:
@@ -58,5 +59,5 @@ def add_columns(df: DataFrame, new: dict[str, str], read: list[str], make: Calla
                                                  [*kept, *new])
     out = StructType([df.schema[c] for c in kept])
     for name, kind in new.items():
-        out = out.add(name, ArrayType(StringType()) if kind == "array<string>" else kind)
+        out = out.add(name, ArrayType(_ARRAYS[kind][1]) if kind in _ARRAYS else kind)
     return df.mapInArrow(run, out)
