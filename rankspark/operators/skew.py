@@ -94,9 +94,9 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str | Column, kind: str,
             name: str, max_rows: int | None = None) -> DataFrame:
-    """Running ``sum`` or ``max`` of ``value`` inside each key, current row included."""
+    """Running ``sum``, ``max`` or ``xor`` (of longs) of ``value`` inside each key, current row included."""
     keys = list(keys)
-    combine = {"sum": F.sum, "max": F.max}[kind]
+    combine = {"sum": F.sum, "max": F.max, "xor": F.bit_xor}[kind]
     size = max_rows or heavy_rows(df.sparkSession)
     cols = df.columns
     df = df.withColumn("_v", F.col(value) if isinstance(value, str) else value)
@@ -111,8 +111,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], v
     prefix = (placed.groupBy(*keys, "_piece").agg(combine("_v").alias("_t"))
               .select(*keys, "_piece", combine("_t").over(earlier).alias("_prefix")))
     joined = same_keys(placed.withColumn("_in", combine("_v").over(inside)), prefix, [*keys, "_piece"])
-    both = (F.col("_in") + F.coalesce(F.col("_prefix"), F.lit(0)) if kind == "sum"
-            else F.greatest(F.col("_in"), F.col("_prefix")))
+    before = F.coalesce(F.col("_prefix"), F.lit(0))
+    both = {"sum": F.col("_in") + before, "max": F.greatest(F.col("_in"), F.col("_prefix")),
+            "xor": F.col("_in").bitwiseXOR(before.cast("long"))}[kind]
     return out.unionByName(joined.select(*cols, both.alias(name)))
 
 

@@ -36,7 +36,7 @@ def test_split_heavy(spark):
 def test_heavy_forms_equal_plain_windows(spark, bound):
     df = hot(spark)
     assert as_set(K.number_within(df, ["k"], ["at"], "i", bound)) == as_set(K.number_within(df, ["k"], ["at"], "i"))
-    for kind, col in (("sum", "n"), ("max", "v")):
+    for kind, col in (("sum", "n"), ("max", "v"), ("xor", "n")):
         assert as_set(K.running(df, ["k"], ["at"], col, kind, "r", bound)) == as_set(K.running(df, ["k"], ["at"], col, kind, "r"))
     steps = {"b3": ("n", 3), "b1": ("n", 1), "f2": ("v", -2)}
     assert as_set(K.step_back(df, ["k"], ["at"], steps, bound)) == as_set(K.step_back(df, ["k"], ["at"], steps))
