@@ -8,7 +8,8 @@ from compare import compare, duck
 
 import corpus_pipeline
 from rankspark.llm import queries, toxicity
-from test_corpus_operators import brute_components, brute_fingerprint, brute_hits, brute_targets
+from test_corpus_operators import brute_hits, brute_targets
+from test_near_copies import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,8 +46,7 @@ def test_pipeline_stages(spark):
     tame = {r["doc_id"] for r in toxicity.score(before, model).where("score < 0.5").collect()}
     assert {r["doc_id"] for r in after.collect()} == tame
     before, after = kept["near duplicates"]
-    label = brute_components([(r["doc_id"], brute_fingerprint(r["text"])) for r in before.collect()])
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(label.values()))
+    assert sorted(r["doc_id"] for r in after.collect()) == brute_kept([(r["doc_id"], r["text"]) for r in before.collect()])
     before, after = kept["decontamination"]
     items = [tuple(r) for r in read("benchmark").collect()]
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect() if not brute_hits(r["text"], items)[1]}
