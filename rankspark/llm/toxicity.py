@@ -14,7 +14,6 @@ extra columns pass through.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.texts import add_columns, words
+from rankspark.llm.texts import SLICE, add_columns, words
 from rankspark.session import pin
 
 #: Bound of the labelled sample that the model is fitted on.
@@ -34,8 +33,6 @@ HASH_BITS = 20
 FACTORS = 8
 BEGINNINGS = range(3, 8)
 MOST_COUNT = 4
-#: Words whose terms a task remembers.
-REMEMBERED = 400_000
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -43,54 +40,77 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(f"`{doc_id}`").cast("string")) % 5 == 0
 
 
-def _hash(term: str, count: int) -> int:
-    return xxhash.xxh32_intdigest(f"{term}#{count}".encode()) & ((1 << HASH_BITS) - 1)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _starts(word: bytes) -> list[str]:
-    w = word.decode("utf-8", "ignore")
-    return [f"={w}", *(w[:n] for n in BEGINNINGS if len(w) >= n)]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _FACTOR
+    return h ^ (h >> np.uint64(29))
+
+
+def _pieces(h: np.ndarray) -> np.ndarray:
+    """Numbers of a term that stands in a text once, twice, three times, four times or more: pieces of its hash."""
+    return (h[..., None] >> np.array([0, 15, 29, 44], np.uint64) & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
+
+
+def start_hashes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every word's starts (the word itself, then its beginnings) as rows, and which of them it has."""
+    letters = np.array(found, f"<U{BEGINNINGS[-1]}").view(np.uint32).reshape(len(found), -1).astype(np.uint64)
+    h, out = np.zeros(len(found), np.uint64), [np.fromiter((xxhash.xxh64_intdigest(w) for w in found), np.uint64, len(found))]
+    for n in range(1, BEGINNINGS[-1] + 1):
+        h = _mixed(h * _FACTOR + letters[:, n - 1] + np.uint64(n))
+        if n in BEGINNINGS:
+            out.append(h)
+    length = np.fromiter(map(len, found), np.int64, len(found))
+    return np.stack(out, 1), length[:, None] >= np.array([0, *BEGINNINGS])
 
 
 class Terms:
-    """Hashed terms of texts; with ``kept``, only those among these numbers, by their place in it."""
+    """Hashed terms of texts; with ``kept``, only those among these numbers, by their place in it.
+
+    The words of many texts are numbered, their starts hashed together, and starts counted per text by sorting.
+    """
 
     def __init__(self, kept: list[int] | None = None):
-        self.place = None if kept is None else {h: i for i, h in enumerate(kept)}
-        self.known: dict[bytes, list | tuple] = {}
-        self.most = REMEMBERED if kept is not None else REMEMBERED // 8  # all numbers of a word take far more room than the few kept
-
-    def _of_word(self, word: bytes) -> list[tuple[str, list[int | None]]]:
-        """(start, its number or place per count) of the starts that matter."""
-        out = []
-        for start in _starts(word):
-            numbers = [_hash(start, c) for c in range(1, MOST_COUNT + 1)]
-            if self.place is not None:
-                numbers = [self.place.get(h) for h in numbers]
-            if any(x is not None for x in numbers):
-                out.append((start, numbers))
-        return out
+        self.place = np.arange(1 << HASH_BITS)
+        if kept is not None:
+            self.place = np.full(1 << HASH_BITS, -1)
+            self.place[np.array(kept, np.int64)] = np.arange(len(kept))
+
+    def of_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text's place in the list, number) of every term, each once, sorted."""
+        number: dict[bytes, int] = {}
+        parts = []
+        for t in texts:
+            own = words(t)
+            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own)))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        length = np.array([int(n).bit_length() for n in sizes], np.uint64)
+        length = self.place[_pieces(_mixed(length + np.uint64(1)))[:, 0]]
+        docs, terms = [np.flatnonzero(length >= 0)], [length[length >= 0]]
+        if number:
+            hashes, has = start_hashes([w.decode("utf-8", "ignore") for w in number])
+            numbers = self.place[_pieces(hashes)]
+            has &= (numbers >= 0).any(axis=2)
+            code, n = np.unique(np.repeat(np.arange(len(texts)), sizes) * len(number) + np.concatenate(parts), return_counts=True)
+            row, column = np.nonzero(has[code % len(number)])
+            kind, place = np.unique(hashes[has], return_inverse=True)
+            at = np.full(has.shape, -1)
+            at[has] = place
+            own = numbers[has][np.unique(place, return_index=True)[1]]  # of each start, in the order of ``kind``
+            word = (code % len(number))[row]
+            pair, inverse = np.unique((code // len(number))[row] * len(kind) + at[word, column], return_inverse=True)
+            count = np.bincount(inverse, n[row], len(pair))
+            own = own[pair % len(kind)] if len(kind) else np.empty((0, MOST_COUNT), np.int64)
+            hit = (own >= 0) & (np.arange(1, MOST_COUNT + 1) <= count[:, None])
+            docs.append(np.repeat(pair // max(1, len(kind)), MOST_COUNT)[hit.ravel()])
+            terms.append(own[hit])
+        wide = 1 << HASH_BITS
+        code = np.unique(np.concatenate(docs) * wide + np.concatenate(terms))
+        return code // wide, code % wide
 
     def of(self, text: str | None) -> list[int]:
-        found = Counter(words(text))
-        counts: Counter[str] = Counter()
-        numbers: dict[str, list[int | None]] = {}
-        known = self.known
-        for w, n in found.items():
-            own = known.get(w)
-            if own is None:
-                if len(known) >= self.most:
-                    known.clear()
-                own = known[w] = self._of_word(w) or ()
-            for start, at in own:
-                counts[start] += n
-                numbers[start] = at
-        size = _hash("length", sum(found.values()).bit_length())
-        out = {self.place.get(size) if self.place is not None else size}
-        for start, n in counts.items():
-            out.update(numbers[start][:min(n, MOST_COUNT)])
-        out.discard(None)
-        return sorted(out)
+        return self.of_many([text])[1].tolist()
 
 
 @dataclass
@@ -104,13 +124,15 @@ class Model:
         terms, w, v = Terms(self.kept), self.weights, self.factors
 
         def score(texts: list[str | None]) -> tuple[list[float]]:
-            out = []
-            for t in texts:
-                at = terms.of(t)
-                own = v[at]
-                x = self.bias + w[at].sum() + 0.5 * (np.square(own.sum(axis=0)).sum() - np.square(own).sum())
-                out.append(float(1 / (1 + np.exp(-np.clip(x, -30, 30)))))
-            return (out,)
+            doc, at = terms.of_many(texts)
+            n = len(texts)
+            sums = np.zeros((n, v.shape[1] if v.ndim == 2 else 0))
+            if len(at):
+                begin = np.flatnonzero(np.diff(doc, prepend=-1))
+                sums[doc[begin]] = np.add.reduceat(v[at], begin, axis=0)
+            squares = np.bincount(doc, np.square(v).sum(axis=1)[at], n)
+            x = self.bias + np.bincount(doc, w[at], n) + 0.5 * (np.square(sums).sum(axis=1) - squares)
+            return ((1 / (1 + np.exp(-np.clip(x, -30, 30)))).tolist(),)
         return score
 
 
@@ -128,8 +150,9 @@ def _informative(sample: DataFrame, most: int) -> tuple[list[int], int, int]:
         terms = Terms()
         for batch in batches:
             each = np.zeros((2, 1 << HASH_BITS), np.int64)
-            for t, y in zip(batch["text"], batch["label"], strict=True):
-                each[y][terms.of(t)] += 1
+            for at in range(0, len(batch), SLICE):
+                doc, found = terms.of_many(batch["text"].iloc[at:at + SLICE].tolist())
+                np.add.at(each, (batch["label"].to_numpy()[at + doc], found), 1)
             seen = np.flatnonzero(each.any(axis=0))
             yield pd.DataFrame({"term": seen, "negative": each[0][seen], "positive": each[1][seen]})
     n0, n1 = (sample.groupBy().pivot("label", [0, 1]).count().na.fill(0).first() or (0, 0))
@@ -158,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Terms(kept)
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "terms": [[str(kept[i]) for i in own.of(t)] for t in batch["text"]]})
+            named = [[str(kept[i]) for i in own.of(t)] for t in batch["text"]]
+            yield pd.DataFrame({"label": batch["label"], "terms": named})
     rows = pin(sample.mapInPandas(found, "label int, terms array<string>"), "terms")
     vectors = CountVectorizerModel.from_vocabulary([str(h) for h in kept], "terms", "features").setBinary(True).transform(rows)
     machine = FMClassifier(factorSize=FACTORS, maxIter=150, stepSize=0.05, regParam=1e-4, initStd=0.02, seed=seed).fit(vectors)

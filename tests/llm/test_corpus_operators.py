@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from rankspark.llm import decontam, graph, mixing, queries, quality, sharding, simhash, suffix, tokencounts, topk, toxicity, urls
 
@@ -272,6 +273,36 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert a.kept == b.kept and np.allclose(a.weights, b.weights) and np.allclose(a.factors, b.factors)
 
 
+def brute_terms(text):
+    """Every beginning of every word with every count, hashed one by one."""
+    w = re.findall("[0-9a-z\\x80-\U0010ffff]+", small_letters(text))
+    counts, hashes = collections.Counter(), {}
+    for x in w:
+        own = toxicity.start_hashes([x])[0][0]
+        for start, h in {"=" + x: own[0], **{x[:n]: own[n - 2] for n in range(3, 8) if len(x) >= n}}.items():
+            counts[start] += 1
+            assert hashes.setdefault(start, h) == h
+    assert len(set(hashes.values())) == len(hashes)
+    out = {int(toxicity._pieces(toxicity._mixed(np.array([len(w).bit_length() + 1], np.uint64)))[0, 0])}
+    for start, n in counts.items():
+        out |= set(toxicity._pieces(np.array([hashes[start]], np.uint64))[0, :min(n, 4)].tolist())
+    return out
+
+
+def test_toxicity_scores_are_those_of_a_double_loop_over_terms(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    at = {h: i for i, h in enumerate(model.kept)}
+    texts = [r["text"] for r in docs.select("text").collect()] + [None, "", "É é a-b \U0001f600 " * 3000, "x" * 100_000]
+    texts += [prose(random.Random(k), 30) for k in range(20)]
+    for t, got in zip(texts, model.scorer()(texts)[0], strict=True):
+        own = sorted(at[h] for h in brute_terms(t) if h in at)
+        x = model.bias + sum(model.weights[i] for i in own)
+        x += sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(own) for j in own[:k])
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(x, -30, 30))), abs=1e-9)
+    assert model.kept and toxicity.Terms().of_many(texts)[0].max() == len(texts) - 1
+
+
 def test_pairs_of_terms_add_to_a_score():
     terms = toxicity.Terms()
     kept = sorted({h for t in ("alpha", "omega") for h in terms.of(t)} - set(terms.of("zz")))
@@ -350,10 +381,24 @@ def test_mixing_nothing(spark):
 
 # --- sharding
 
-@pytest.mark.parametrize("fine", [256, 1])
-def test_sharding(spark, docs, rows, fine):
-    got = sharding.shard_documents(docs, 6, ["doc_id"], fine=fine, bundles=64).collect()
-    text = {r[0]: (r[1] or "").encode() for r in rows}
+def brute_longest_first(sizes, shards):
+    load = [0] * shards
+    for s in sorted(sizes, reverse=True):
+        load[load.index(min(load))] += s
+    return load
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_sharding(spark, docs, rows, few, monkeypatch):
+    monkeypatch.setattr(sharding, "FEW_SIZES", few)
+    rng = random.Random(2)
+    small = [(10_000 + i, "y" * rng.choice([3, 4, 9]) + str(i), "en", "a", 0) for i in range(3000)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(small, DOCS).select("doc_id", "text"))
+    both = both.withColumns({c: F.lit("x") for c in ("size", "shard", "slot", "row", "id", "k0", "total", "upto")})
+    out = sharding.shard_documents(both, 6)
+    assert len(set(out.columns)) == len(out.columns)
+    got = out.collect()
+    text = {r[0]: (r[1] or "").encode() for r in rows + small}
     assert sorted(r["doc_id"] for r in got) == sorted(text)
     load, slots, where = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
     for r in got:
@@ -367,11 +412,17 @@ def test_sharding(spark, docs, rows, fine):
     groups = collections.Counter()
     for t in text.values():
         groups[t] += len(t) + 8
-    assert max(load.values()) <= max(max(groups.values()), sum(groups.values()) / 6 * (4 / 3 if fine == 256 else 2))
+    assert [load[s] for s in range(6)] == brute_longest_first(groups.values(), 6)
 
 
 def test_longest_first():
-    assert sharding.longest_first([("a", 5), ("b", 4), ("c", 3), ("d", 3), ("e", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+    rng = random.Random(9)
+    for shards in (1, 3, 24):
+        for steps in (0, 3, 64):
+            sizes = [(s, rng.choice([1, 2, 5, 70, 300])) for s in rng.sample(range(9, 4000), 25)]
+            got = sharding.longest_first(sizes, shards, steps)
+            assert all(sum(got[s]) == n for s, n in sizes)
+            assert [sum(got[s][k] * s for s, _ in sizes) for k in range(shards)] == brute_longest_first([s for s, n in sizes for _ in range(n)], shards)
 
 
 def test_sharding_nothing(spark):
