@@ -19,12 +19,17 @@ from rankspark.plans.ranking import KEY, rounded, split_impressions
 from rankspark.rankers import boost as G
 from rankspark.rankers import fm
 from rankspark.rankers import study as Y
+from rankspark.session import pin
 
 #: Runs to early stopping.
 TRAINED = fm.FMConfig(k=16, lr=0.02)
 #: Studies of many runs.
 SMALL = fm.FMConfig(k=8, lr=0.02, epochs=2, batch_rows=65536, patience=1)
 STEP = fm.FMConfig(k=3, lr=0.01)
+#: Boosting to early stopping.
+BOOSTED = G.BoostConfig(rounds=600, patience=2, learning_rate=0.3, max_depth=4, min_rows=20, min_gain=1e-4)
+#: Share of the way from chance to the planted scores that a trained machine has to make.
+NEAR = 0.5
 K = 4
 
 
@@ -56,12 +61,15 @@ def _trained(spark, sf_dir, config):
     select = part("valid_search")
     model = fm.train_fm(part("train"), select, indexer.dim, 5, "user_id", KEY, config)
     primary = lambda name: ranking_report(model.transform(part(name), KEY), tiebreak=KEY).first()["primary"]
-    chance = ranking_report(select.withColumn("score", hash_uniform(F.lit(0), *KEY)), tiebreak=KEY).first()["primary"]
+    known = lambda score: ranking_report(select.withColumn("score", score), tiebreak=KEY).first()["primary"]
+    chance, optimum = known(hash_uniform(F.lit(0), *KEY)), known(hash_uniform(F.lit("item"), "item_id"))
     best = max(h[2] for h in model.history)
+    losses = [h[1] for h in model.history]
     test = rows.where("split = 'test'")
     return test.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("user_id").alias("users")).select(
-        "*", F.lit(best > chance + 0.01).alias("beats_chance"), F.lit(abs(primary("valid_search") - best) < 1e-9).alias("best_restored"),
-        F.lit(0.0 < primary("test") <= 1.0).alias("scored_test"))
+        "*", F.lit(best > chance + NEAR * (optimum - chance)).alias("near_optimum"), F.lit(abs(primary("valid_search") - best) < 1e-9).alias("best_restored"),
+        F.lit(primary("test") > chance).alias("beats_chance_on_test"), F.lit(losses[-1] < losses[0]).alias("loss_falls"),
+        F.lit(len(losses) < config.epochs and best not in [h[2] for h in model.history[-config.patience:]]).alias("stopped_by_patience"))
 
 
 def fm_pointwise(spark, sf_dir):
@@ -134,24 +142,27 @@ def oof_scores(spark, sf_dir):
     return out.select(*KEY, "fold", "oof_score")
 
 
-def _dense(spark, sf_dir):
-    rows = split_impressions(spark, sf_dir)
-    return DenseFeatures().fit(rows.where("split = 'train'")).transform(rows)
+def _boosted(spark, sf_dir, objective, config):
+    """Planted labels again; rounds go on until patience ends them."""
+    rows = pin(_planted(split_impressions(spark, sf_dir)), "planted")
+    rows = pin(DenseFeatures().fit(rows.where("split = 'train'")).transform(rows), "dense")
+    select, test = rows.where("split = 'valid_search'"), rows.where("split = 'test'")
+    model = G.train_boosted(rows.where("split = 'train'"), select, "user_id", KEY, config, objective=objective)
+    primary = lambda df, score: ranking_report(df.withColumn("score", score), tiebreak=KEY).first()["primary"]
+    chance, optimum = primary(select, hash_uniform(F.lit(0), *KEY)), primary(select, hash_uniform(F.lit("item"), "item_id"))
+    best = max(model.history)
+    scored = ranking_report(model.transform(test), tiebreak=KEY).first()["primary"]
+    return test.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("user_id").alias("users")).select(
+        "*", F.lit(best > chance + NEAR * (optimum - chance)).alias("near_optimum"), F.lit(scored > chance).alias("beats_chance_on_test"),
+        F.lit(len(model.trees) == len(model.history) - config.patience).alias("stopped_by_patience"))
 
 
 def gbt_binary(spark, sf_dir):
-    rows = _dense(spark, sf_dir)
-    model = G.train_binary(rows.where("split = 'train'"), G.BoostConfig(rounds=3, max_depth=4))
-    test = rows.where("split = 'test'")
-    return ranking_report(G.score_binary(model, test), tiebreak=KEY, counted=test.select("user_id"))
+    return _boosted(spark, sf_dir, "binary", BOOSTED)
 
 
 def gbt_lambdarank(spark, sf_dir):
-    rows = _dense(spark, sf_dir)
-    model = G.train_lambdarank(rows.where("split = 'train'"), rows.where("split = 'valid_search'"), "user_id", KEY,
-                               G.BoostConfig(rounds=2, patience=2, max_depth=4))
-    test = rows.where("split = 'test'")
-    return ranking_report(model.transform(test), tiebreak=KEY, counted=test.select("user_id"))
+    return _boosted(spark, sf_dir, "lambdarank", BOOSTED)
 
 
 def lambda_gradients(spark, sf_dir):
@@ -169,7 +180,11 @@ _W = f"WITH {S.SPLIT_IMP}"
 _TEXT = " || '|' || ".join(KEY)
 _FIELDS = ", ".join(f"f_{n}" for n in P._BASE)
 
-_TRAINED = _W + """ SELECT count(*) AS "rows", count(DISTINCT user_id) AS users, true AS beats_chance, true AS best_restored, true AS scored_test
+_TRAINED = _W + """ SELECT count(*) AS "rows", count(DISTINCT user_id) AS users, true AS near_optimum, true AS best_restored, true AS beats_chance_on_test,
+      true AS loss_falls, true AS stopped_by_patience
+    FROM simp WHERE split = 'test'"""
+
+_BOOSTED = _W + """ SELECT count(*) AS "rows", count(DISTINCT user_id) AS users, true AS near_optimum, true AS beats_chance_on_test, true AS stopped_by_patience
     FROM simp WHERE split = 'test'"""
 
 
@@ -230,6 +245,7 @@ SQL = {
         slots AS (SELECT {S.KEY}, unnest([f_user_id, f_item_id, f_author_id, f_tab, f_dur_bucket]) AS feature_id FROM enc)
         SELECT {S.KEY}, round(0.25 + sum(w) + 0.5 * (""" + " + ".join(f"pow(sum(v{j}), 2) - sum(v{j} * v{j})" for j in range(K))
         + f"), 6) AS score FROM slots LEFT JOIN (SELECT feature_id, w, v0, v1, v2, v3 FROM params UNION ALL SELECT unk, 0, 0, 0, 0, 0 FROM unk) USING (feature_id) GROUP BY {S.KEY}",
+    "gbt_binary": _BOOSTED, "gbt_lambdarank": _BOOSTED,
     "fm_pointwise": _TRAINED, "fm_bpr": _TRAINED, "fm_softmax": _TRAINED,
     "fm_step_pointwise": _step_sql("pointwise"), "fm_table_engine": _step_sql("pointwise"),
     "fm_step_bpr": _step_sql("bpr", 2), "fm_step_softmax": _step_sql("softmax", 4),

@@ -51,7 +51,18 @@ def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.pinned_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table that ``pin`` wrote for ``df``; nothing may read it later.  Other frames are left alone."""
+    path = getattr(df, "pinned_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
