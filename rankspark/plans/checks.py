@@ -129,7 +129,7 @@ def _ideas(spark, sf_dir):
 
 def near_duplicate_fingerprints(spark, sf_dir):
     ideas = _ideas(spark, sf_dir)
-    return C.match_fingerprints(ideas.where("id % 4 = 1"), ideas.where("id % 4 = 2"), "id", "id")
+    return C.match_fingerprints(ideas.where("id % 2 = 1"), ideas.where("id % 2 = 0"), "id", "id")
 
 
 def exact_duplicates(spark, sf_dir):
@@ -223,7 +223,7 @@ SQL = {
         WHEN event_type = 'signup' THEN 'error' ELSE 'ok' END AS status,
         CASE event_type WHEN 'click' THEN value WHEN 'view' THEN value WHEN 'purchase' THEN 0.75 END::DOUBLE AS "primary",
         CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.25 END::DOUBLE AS gauc, CASE event_type WHEN 'view' THEN 0.5 END::DOUBLE AS ndcg5 FROM events""",
-    "near_duplicate_fingerprints": _FP + """, c AS (SELECT * FROM f WHERE id % 4 = 1), e AS (SELECT * FROM f WHERE id % 4 = 2),
+    "near_duplicate_fingerprints": _FP + """, c AS (SELECT * FROM f WHERE id % 2 = 1), e AS (SELECT * FROM f WHERE id % 2 = 0),
         m AS (SELECT c.id, e.id AS eid, (c.a = e.a)::INT + (c.b = e.b)::INT + (c.c = e.c)::INT + (c.d = e.d)::INT AS same FROM c JOIN e ON true)
         SELECT id, CASE max(same) WHEN 4 THEN 'exact' WHEN 3 THEN 'near' ELSE 'distinct' END AS status,
           coalesce(min(CASE WHEN same = 4 THEN eid END), min(CASE WHEN same = 3 THEN eid END)) AS entry FROM m GROUP BY 1""",

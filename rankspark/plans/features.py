@@ -104,18 +104,26 @@ def prediction_file_round_trip(spark, sf_dir):
     return V.prediction_verdict(V.prediction_violations(lines, want).unionByName(bad_head))
 
 
+#: Every eleventh key is moved out of range, so lookups also meet keys that no table has.
+_MOVED = "CASE WHEN {0} % 11 = 0 THEN -1 - {0} ELSE {0} END"
+
+
+def _moved(df, key):
+    return df.withColumn(key, F.expr(_MOVED.format(key)))
+
+
 def item_attributes_lookup(spark, sf_dir):
-    items = T.table(spark, sf_dir, "part").where("p_size <= 40").select(
+    items = T.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"))
-    out = L.join_attributes(T.impressions(spark, sf_dir), items, "item_id", ["brand", "kind"])
+    out = L.join_attributes(_moved(T.impressions(spark, sf_dir), "item_id"), items, "item_id", ["brand", "kind"])
     return out.select("order_id", "line_no", "item_id", "author_id", "date", "brand", "kind")
 
 
 def user_attributes_lookup(spark, sf_dir):
-    users = T.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(
+    users = T.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"),
         F.col("c_nationkey").alias("nation"))
-    out = L.join_attributes(T.impressions(spark, sf_dir), users, "user_id", ["segment", "nation"])
+    out = L.join_attributes(_moved(T.impressions(spark, sf_dir), "user_id"), users, "user_id", ["segment", "nation"])
     return out.groupBy("segment", "nation").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("pos"))
 
 
@@ -127,7 +135,7 @@ def last_row_wins(spark, sf_dir):
 
 def unseen_items(spark, sf_dir):
     rows = split_impressions(spark, sf_dir)
-    out = R.unseen(rows.where("split = 'test'"), rows.where("split = 'train' and author_id % 2 = 0"), "item_id")
+    out = R.unseen(_moved(rows.where("split = 'test'"), "item_id"), rows.where("split = 'train'"), "item_id")
     return out.select("order_id", "line_no", "item_id", "author_id", "date")
 
 
@@ -151,8 +159,7 @@ def smoothed_rates(spark, sf_dir):
 def popularity_with_default(spark, sf_dir):
     """Items of a log the train split never saw score exactly the global rate."""
     rows = split_impressions(spark, sf_dir)
-    train = rows.where("split = 'train' and author_id % 2 = 0")
-    out = R.popularity_scores(train, rows.where("split = 'test'"))
+    out = R.popularity_scores(rows.where("split = 'train'"), _moved(rows.where("split = 'test'"), "item_id"))
     return rounded(out.select("order_id", "line_no", "item_id", "author_id", "date", "score"), "score")
 
 
@@ -423,24 +430,24 @@ SQL = {
         NULL::VARCHAR AS first_violation""",
     "item_attributes_lookup": f"""WITH {S.IMP} SELECT order_id, line_no, item_id, author_id, date,
         coalesce(p_brand, 'UNK') AS brand, coalesce(p_type, 'UNK') AS kind
-        FROM imp LEFT JOIN (SELECT * FROM part WHERE p_size <= 40) ON item_id = p_partkey""",
+        FROM (SELECT * REPLACE ({_MOVED.format("item_id")} AS item_id) FROM imp) LEFT JOIN part ON item_id = p_partkey""",
     "user_attributes_lookup": f"""WITH {S.IMP} SELECT coalesce(c_mktsegment, 'UNK') AS segment,
         coalesce(c_nationkey::VARCHAR, 'UNK') AS nation, count(*) AS "rows", sum(label)::BIGINT AS pos
-        FROM imp LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON user_id = c_custkey GROUP BY 1, 2""",
+        FROM (SELECT * REPLACE ({_MOVED.format("user_id")} AS user_id) FROM imp) LEFT JOIN customer ON user_id = c_custkey GROUP BY 1, 2""",
     "last_row_wins": """SELECT user_id, event_id, event_type, value FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
-    "unseen_items": _W + """ SELECT order_id, line_no, item_id, author_id, date FROM simp WHERE split = 'test'
-        AND item_id NOT IN (SELECT item_id FROM train WHERE author_id % 2 = 0)""",
+    "unseen_items": _W + f""", moved AS (SELECT * REPLACE ({_MOVED.format("item_id")} AS item_id) FROM simp)
+        SELECT order_id, line_no, item_id, author_id, date FROM moved WHERE split = 'test' AND item_id NOT IN (SELECT item_id FROM train)""",
     "rate_table_item": _W + " SELECT item_id, sum(label)::BIGINT AS pos, count(*) AS imp FROM train GROUP BY 1",
     "rate_table_author": _W + " SELECT author_id, sum(label)::BIGINT AS pos, count(*) AS imp FROM train GROUP BY 1",
     "smoothed_rates": _W + """ SELECT item_id, sum(label)::BIGINT AS pos, count(*) AS imp,
         round((sum(label) + 20.0::DOUBLE * (SELECT avg(label) FROM train)) / (count(*) + 20.0::DOUBLE), 6) AS rate
         FROM train GROUP BY 1""",
-    "popularity_with_default": _W + """, tr AS (SELECT * FROM train WHERE author_id % 2 = 0),
-        r AS (SELECT item_id, sum(label) AS p, count(*) AS n FROM tr GROUP BY 1)
+    "popularity_with_default": _W + f""", moved AS (SELECT * REPLACE ({_MOVED.format("item_id")} AS item_id) FROM simp),
+        r AS (SELECT item_id, sum(label) AS p, count(*) AS n FROM train GROUP BY 1)
         SELECT order_id, line_no, item_id, author_id, date,
-          round((coalesce(p, 0) + 20.0::DOUBLE * (SELECT avg(label) FROM tr)) / (coalesce(n, 0) + 20.0::DOUBLE), 6) AS score
-        FROM simp LEFT JOIN r USING (item_id) WHERE split = 'test'""",
+          round((coalesce(p, 0) + 20.0::DOUBLE * (SELECT avg(label) FROM train)) / (coalesce(n, 0) + 20.0::DOUBLE), 6) AS score
+        FROM moved LEFT JOIN r USING (item_id) WHERE split = 'test'""",
     "group_sizes": _W + ' SELECT user_id, count(*) AS "rows" FROM train GROUP BY 1',
     "group_offsets": _W + """ SELECT user_id, (sum(n) OVER (ORDER BY user_id) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY user_id))::BIGINT AS "end"
         FROM (SELECT user_id, count(*) AS n FROM train GROUP BY 1)""",

@@ -267,7 +267,8 @@ def policy_violations(spark, sf_dir):
 
 def summary_table(spark, sf_dir):
     docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "[^ -~]", "?").alias("hypothesis"))
-    nodes = study_nodes(spark, sf_dir).join(docs, "id")
+    # there are more nodes than documents
+    nodes = study_nodes(spark, sf_dir).join(docs, "id", "left").withColumn("hypothesis", F.coalesce("hypothesis", F.concat(F.lit("idea "), "id")))
     rows = nodes.withColumn("parent", F.when(F.col("id") % 3 > 0, F.col("id") * 1000003)).withColumn(
         "confirm", F.when(F.col("status") == "promoted", F.col("primary")))
     return X.summary_table(rows)
@@ -520,9 +521,9 @@ SQL = {
         FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1, 2 HAVING count(*) > CASE event_type WHEN 'purchase' THEN 12 ELSE 15 END""",
     "summary_table": _N + """SELECT iter, id, CASE WHEN id % 3 > 0 THEN substr((id * 1000003)::VARCHAR, 1, 8) ELSE 'root' END AS parent,
         CASE WHEN length(h) > 80 THEN substr(h, 1, 80) || '...' ELSE h END AS hypothesis, coalesce(component, '-') AS component,
-        coalesce(printf('%.4f', "primary"), '-') AS score, coalesce(printf('%+.4f', round(mean_delta, 4) + 0.0), '-') AS delta, status,
+        coalesce(printf('%.4f', "primary"), '-') AS score, coalesce(printf('%+.4f', round(mean_delta::DECIMAL(18, 10), 4)::DOUBLE + 0.0), '-') AS delta, status,
         concat_ws(' ; ', evidence_type, CASE WHEN status = 'promoted' AND "primary" IS NOT NULL THEN printf('confirm=%.4f', "primary") END) AS notes
-        FROM nodes JOIN (SELECT doc_id AS id, regexp_replace(text, '[^ -~]', '?', 'g') AS h FROM documents) USING (id)""",
+        FROM (SELECT nodes.*, coalesce(regexp_replace(text, '[^ -~]', '?', 'g'), 'idea ' || id) AS h FROM nodes LEFT JOIN documents ON doc_id = id)""",
     "latest_state": """SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
     "merged_logs": """SELECT k AS id, log, event_id, event_type, value FROM (SELECT *, json_extract_string(props, '$.k') AS k, (event_type = 'click')::INTEGER AS log
         FROM events) QUALIFY row_number() OVER (PARTITION BY k ORDER BY log DESC, event_id DESC) = 1""",

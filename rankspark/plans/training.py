@@ -24,10 +24,10 @@ from rankspark.session import pin
 #: Runs to early stopping.
 TRAINED = fm.FMConfig(k=16, lr=0.02)
 #: Studies of many runs.
-SMALL = fm.FMConfig(k=8, lr=0.02, epochs=2, batch_rows=65536, patience=1)
+SMALL = fm.FMConfig(k=8, lr=0.1, patience=1, min_gain=0.002)
 STEP = fm.FMConfig(k=3, lr=0.01)
 #: Boosting to early stopping.
-BOOSTED = G.BoostConfig(rounds=600, patience=2, learning_rate=0.3, max_depth=4, min_rows=20, min_gain=1e-4)
+BOOSTED = G.BoostConfig(rounds=600, patience=2, learning_rate=0.5, max_depth=4, min_rows=20, min_gain=0.002)
 #: Share of the way from chance to the planted scores that a trained machine has to make.
 NEAR = 0.5
 K = 4
@@ -111,35 +111,49 @@ def fm_table_engine(spark, sf_dir):
     return _step(spark, sf_dir, fm.replace(STEP, engine="table"))
 
 
-def grid_search(spark, sf_dir):
-    rows = split_impressions(spark, sf_dir)
+def _planted_splits(spark, sf_dir, rows=None):
+    rows = pin(_planted(split_impressions(spark, sf_dir) if rows is None else rows), "planted")
     train, select = rows.where("split = 'train'"), rows.where("split = 'valid_search'")
+    known = lambda score: ranking_report(select.withColumn("score", score), tiebreak=KEY).first()["primary"]
+    chance, optimum = known(hash_uniform(F.lit(0), *KEY)), known(hash_uniform(F.lit("item"), "item_id"))
+    return rows, train, select, chance + NEAR * (optimum - chance)
+
+
+def grid_search(spark, sf_dir):
+    """Two learning rates, one of them far too small, with three seeds each; the winner scores the test split."""
+    rows, train, select, near = _planted_splits(spark, sf_dir)
     fields = P._fields(P._duration_edges(train))
-    return Y.grid_runs(fields, train, select, {"valid_search": select}, "user_id", KEY,
-                       fm.replace(SMALL, loss="bpr", epochs=1), {"lr": (0.01, 0.02), "negatives": (1, 2)})
+    indexer, model, runs = Y.best_model(fields, train, select, "user_id", KEY, SMALL, {"lr": (1e-6, SMALL.lr)}, (0, 1, 2))
+    test = rows.where("split = 'test'")
+    scored = ranking_report(model.transform(indexer.transform(test), KEY), tiebreak=KEY)
+    best = max(r[2] for r in runs)
+    return scored.select("users", "rows", F.lit(len(runs)).alias("runs"), F.lit(model.config.lr).alias("lr"), F.lit(best > near).alias("near_optimum"),
+                         F.lit(max(h[2] for h in model.history) == best).alias("winner_returned"))
 
 
 def field_ablation(spark, sf_dir):
-    rows = P.wide_rows(spark, sf_dir)
-    train, select = rows.where("split = 'train'"), rows.where("split = 'valid_search'")
+    rows, train, select, near = _planted_splits(spark, sf_dir, P.wide_rows(spark, sf_dir))
     base = P._fields(P._duration_edges(train))
     sets = {m: {**base, **P.named_fields(*extra)} for m, extra in P.FIELD_SETS.items()}
-    return Y.field_set_runs(sets, train, select, {"valid_search": select}, "user_id", KEY, fm.replace(SMALL, epochs=1))
+    out = Y.field_set_runs(sets, train, select, {"valid_search": select}, "user_id", KEY, SMALL)
+    return out.select("mode", "n_fields", "split", "seeds", (F.col("primary") > near).alias("near_optimum"), (F.col("spread") < 0.05).alias("steady"))
 
 
 def ablation_runs(spark, sf_dir):
-    rows = split_impressions(spark, sf_dir)
-    train, select = rows.where("split = 'train'"), rows.where("split = 'valid_search'")
+    """Labels depend on the item, so no removed component takes the machine below the planted bound."""
+    rows, train, select, near = _planted_splits(spark, sf_dir)
     fields = P._fields(P._duration_edges(train))
-    return Y.ablation_runs(fields, train, select, "user_id", "item_id", KEY, fm.replace(SMALL, epochs=1))
+    out = Y.ablation_runs(fields, train, select, "user_id", "item_id", KEY, SMALL)
+    return out.select("component", (F.col("primary") > near).alias("near_optimum"), (F.abs("delta") < 0.1).alias("small_delta"))
 
 
 def oof_scores(spark, sf_dir):
-    rows = split_impressions(spark, sf_dir)
+    """Users, rows and quality of each fold's scores, made by machines that never saw the fold."""
+    rows, train, select, near = _planted_splits(spark, sf_dir)
     indexer = P.base_indexer(rows)
-    part = lambda s: indexer.transform(rows.where(F.col("split") == s))
-    out = Y.oof_scores(part("train"), part("valid_search"), indexer.dim, 5, "user_id", KEY, fm.replace(SMALL, epochs=1), folds=3)
-    return out.select(*KEY, "fold", "oof_score")
+    out = pin(Y.oof_scores(indexer.transform(train), indexer.transform(select), indexer.dim, 5, "user_id", KEY, SMALL, folds=3), "oof")
+    known = ranking_report(out.withColumn("score", F.col("oof_score")), tiebreak=KEY).first()["primary"]
+    return out.groupBy("fold").agg(F.count("*").alias("rows"), F.count_if(F.col("oof_score").isNull()).alias("unscored")).withColumn("near_optimum", F.lit(known > near))
 
 
 def _boosted(spark, sf_dir, objective, config):
@@ -245,6 +259,12 @@ SQL = {
         slots AS (SELECT {S.KEY}, unnest([f_user_id, f_item_id, f_author_id, f_tab, f_dur_bucket]) AS feature_id FROM enc)
         SELECT {S.KEY}, round(0.25 + sum(w) + 0.5 * (""" + " + ".join(f"pow(sum(v{j}), 2) - sum(v{j} * v{j})" for j in range(K))
         + f"), 6) AS score FROM slots LEFT JOIN (SELECT feature_id, w, v0, v1, v2, v3 FROM params UNION ALL SELECT unk, 0, 0, 0, 0, 0 FROM unk) USING (feature_id) GROUP BY {S.KEY}",
+    "grid_search": _W + f""" SELECT count(DISTINCT user_id) AS users, count(*) AS "rows", 6::INTEGER AS runs, {SMALL.lr}::DOUBLE AS lr, true AS near_optimum, true AS winner_returned
+        FROM simp WHERE split = 'test'""",
+    "field_ablation": " UNION ALL ".join(f"""SELECT '{m}' AS mode, {5 + len(extra)}::INTEGER AS n_fields, 'valid_search' AS split, 3::BIGINT AS seeds, true AS near_optimum, true AS steady"""
+                                         for m, extra in P.FIELD_SETS.items()),
+    "ablation_runs": " UNION ALL ".join(f"SELECT '{c}' AS component, true AS near_optimum, true AS small_delta" for c in Y.ABLATIONS),
+    "oof_scores": _W + f""" SELECT ('0x' || substr(md5('0|fold|' || {_TEXT}), 1, 8))::BIGINT % 3 AS fold, count(*) AS "rows", 0::BIGINT AS unscored, true AS near_optimum FROM train GROUP BY 1""",
     "gbt_binary": _BOOSTED, "gbt_lambdarank": _BOOSTED,
     "fm_pointwise": _TRAINED, "fm_bpr": _TRAINED, "fm_softmax": _TRAINED,
     "fm_step_pointwise": _step_sql("pointwise"), "fm_table_engine": _step_sql("pointwise"),
