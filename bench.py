@@ -33,7 +33,7 @@ HEADLINE = [
     "prediction_check_violations",
     "gate_verdict",                 # whole-text rule scan
     "fm_score_relational",
-    "fm_pointwise",                 # two epochs of training + scoring
+    "fm_pointwise",                 # training to early stopping + scoring
 ]
 
 
