@@ -17,6 +17,20 @@ def rate_table(df: DataFrame, keys: Sequence[str | Column], label: str = "label"
     return df.groupBy(*keys).agg(F.sum(label).cast("bigint").alias(pos), F.count(F.lit(1)).alias(imp))
 
 
+def rate_sets(df: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
+    """Sums by each key alone and over all rows, from one scan: ``_set`` (the key's name, empty for all rows), the keys, ``_pos``,
+    ``_imp`` and ``_known`` (rows with a label).  A null key is a group of its own.
+    """
+    keys = list(keys)
+    # every key has a bit in the grouping id, set where the key is not grouped by
+    every = (1 << len(keys)) - 1
+    names = F.create_map(*[F.lit(x) for i, k in enumerate(keys) for x in (every - (1 << (len(keys) - 1 - i)), k)], F.lit(every), F.lit(""))
+    out = df.select(*keys, F.col(label).alias("_label")).groupingSets([[k] for k in keys] + [[]], *keys).agg(
+        F.grouping_id().cast("int").alias("_id"), F.coalesce(F.sum("_label").cast("bigint"), F.lit(0)).alias("_pos"),
+        F.count(F.lit(1)).alias("_imp"), F.count("_label").alias("_known"))
+    return out.withColumn("_set", names[F.col("_id")]).drop("_id")
+
+
 def global_rate(df: DataFrame, label: str = "label") -> float:
     """One number, needed by every row of the lookup."""
     row = df.agg(F.avg(F.col(label).cast("double")).alias("m")).first()

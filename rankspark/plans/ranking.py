@@ -79,6 +79,18 @@ def report_events(spark, sf_dir):
     return rounded(out, "gauc", "ndcg", "primary")
 
 
+#: Metrics that the report does not have, as a caller would state them.
+PRECISION = M.Metric("precision", lambda label, at: {"hits": F.sum(F.when(at <= 3, label).otherwise(0))}, lambda rows, pos, s: s["hits"] / F.lit(3.0))
+FIRST_HIT = M.Metric("mrr", lambda label, at: {"first": F.min(F.when(label == 1, at))}, lambda rows, pos, s: F.lit(1.0) / s["first"],
+                     weight=lambda rows, pos, s: rows)
+
+
+def report_own_metrics(spark, sf_dir):
+    """Precision at 3 over all users, and the reciprocal place of the first positive, weighted by rows, over users who have one."""
+    out = _report(scored_by_popularity(spark, sf_dir, "test"), _members(spark, sf_dir, "test"), extra=[PRECISION, FIRST_HIT])
+    return rounded(out, "precision", "mrr")
+
+
 def per_user_auc(spark, sf_dir):
     df = scored_by_popularity(spark, sf_dir, "test")
     out = M.per_group_scores(df, "user_id", tiebreak=KEY, counted=_members(spark, sf_dir, "test"))
@@ -128,6 +140,7 @@ QUERIES = {
     "ranking_report_by_split": report_by_split,
     "ranking_report_doc_length": report_doc_length,
     "ranking_report_events": report_events,
+    "ranking_report_own_metrics": report_own_metrics,
     "per_user_auc": per_user_auc,
     "per_user_ndcg": per_user_ndcg,
     "per_user_primary": per_user_primary,
@@ -150,6 +163,11 @@ SQL = {
     "ranking_report_events": """WITH src AS (SELECT event_id, user_id, value AS score,
         CAST(event_type = 'purchase' AS INTEGER) AS label FROM events),"""
         + S.user_metrics("src", "user_id", "event_id") + S.report(),
+    "ranking_report_own_metrics": _TEST_POP + S.user_metrics("src", "user_id", S.KEY) + f""", own AS (SELECT user_id, count(*) AS n,
+          sum(CASE WHEN place <= 3 THEN label ELSE 0 END) / 3.0::DOUBLE AS p3, 1.0::DOUBLE / min(CASE WHEN label = 1 THEN place END) AS rr
+        FROM um_r GROUP BY 1)
+        SELECT * FROM ({S.report()}), (SELECT round(avg(p3), 6) AS "precision",
+          round(sum(n * rr) / sum(CASE WHEN rr IS NOT NULL THEN n END), 6) AS mrr FROM own)""",
     "per_user_auc": _TEST_POP + S.user_metrics("src", "user_id", S.KEY)
         + """SELECT user_id, n AS "rows", pos, round(auc, 6) AS auc, pos > 0 AND pos < n AS discriminative FROM um""",
     "per_user_ndcg": _TEST_POP + S.user_metrics("src", "user_id", S.KEY)

@@ -18,6 +18,7 @@ from rankspark.plans import sqltext as S
 from rankspark.plans.ranking import KEY, rounded, split_impressions
 from rankspark.rankers import boost as G
 from rankspark.rankers import fm
+from rankspark.rankers import registry as R
 from rankspark.rankers import study as Y
 from rankspark.session import pin
 
@@ -179,6 +180,20 @@ def gbt_lambdarank(spark, sf_dir):
     return _boosted(spark, sf_dir, "lambdarank", BOOSTED)
 
 
+#: What ``ranker_comparison`` runs; the first two have no trained part, so SQL states their primary.
+COMPARED = ("popularity", "random", "fm_pointwise", "gbt_binary")
+
+
+def ranker_comparison(spark, sf_dir):
+    """Named rankers on the planted labels, all through one report over the select and the test split."""
+    rows, train, select, near = _planted_splits(spark, sf_dir)
+    task = R.Task(train, select, "user_id", "item_id", KEY, P._fields(P._duration_edges(train)), fm=SMALL, boost=BOOSTED)
+    out = R.compare(task, {"valid_search": select, "test": rows.where("split = 'test'")}, COMPARED)
+    stated = F.when(F.col("ranker").isin(*COMPARED[:2]), F.round("primary", 6))
+    near_optimum = F.when(F.col("split") == "valid_search", F.col("primary") > near)
+    return out.select("ranker", "split", "users", "rows", stated.alias("stated_primary"), near_optimum.alias("near_optimum"))
+
+
 def lambda_gradients(spark, sf_dir):
     """Gradients of all train rows at scores with many ties inside a user."""
     train = P.train_rows(spark, sf_dir).select("user_id", "label", *KEY).withColumn("score", (F.col("item_id") % 101) / 10.0)
@@ -188,7 +203,7 @@ def lambda_gradients(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     pair_sample, fm_score_relational, fm_pointwise, fm_bpr, fm_softmax, fm_step_pointwise, fm_step_bpr, fm_step_softmax, fm_table_engine, grid_search, field_ablation,
-    ablation_runs, oof_scores, gbt_binary, gbt_lambdarank, lambda_gradients)}
+    ablation_runs, oof_scores, gbt_binary, gbt_lambdarank, ranker_comparison, lambda_gradients)}
 
 _W = f"WITH {S.SPLIT_IMP}"
 _TEXT = " || '|' || ".join(KEY)
@@ -202,6 +217,24 @@ _BOOSTED = _W + """ SELECT count(*) AS "rows", count(DISTINCT user_id) AS users,
     FROM simp WHERE split = 'test'"""
 
 
+
+
+def _comparison_sql() -> str:
+    """Popularity and random on the planted labels; the trained rankers give booleans."""
+    item, noise = S.uniform("'item|' || item_id"), S.uniform(f"'noise|' || {_TEXT}")
+    return _W + f""", p AS (SELECT * REPLACE (({item} * 0.8 + {noise} * 0.2 > 0.6)::INTEGER AS label) FROM simp),
+      g AS (SELECT avg(label::DOUBLE) AS m FROM p WHERE split = 'train'),
+      rates AS (SELECT item_id, sum(label) AS a, count(*) AS b FROM p WHERE split = 'train' GROUP BY 1),
+      scored AS (SELECT 'popularity' AS ranker, p.*, (coalesce(a, 0) + 20.0::DOUBLE * m) / (coalesce(b, 0) + 20.0::DOUBLE) AS score
+          FROM p LEFT JOIN rates USING (item_id), g
+        UNION ALL SELECT 'random', *, {S.uniform(f"'0|' || {_TEXT}")} FROM p),
+      src AS (SELECT * FROM scored WHERE split IN ('valid_search', 'test')), {S.user_metrics("src", "ranker, split, user_id", S.KEY)},
+      r AS ({S.report(by="ranker, split")})
+      SELECT name AS ranker, split, users, "rows", CASE WHEN name = ranker THEN "primary" END AS stated_primary,
+        CASE WHEN split = 'valid_search' THEN name <> 'random' END AS near_optimum
+      FROM r JOIN (SELECT unnest({list(COMPARED)}) AS name) ON name = ranker OR (ranker = 'random' AND name NOT IN ('popularity', 'random'))"""
+
+
 def _step_sql(loss: str, negatives: int = 0) -> str:
     """Forward pass, gradient and the first Adam update over all train examples."""
     vs = range(STEP.k)
@@ -265,6 +298,7 @@ SQL = {
                                          for m, extra in P.FIELD_SETS.items()),
     "ablation_runs": " UNION ALL ".join(f"SELECT '{c}' AS component, true AS near_optimum, true AS small_delta" for c in Y.ABLATIONS),
     "oof_scores": _W + f""" SELECT ('0x' || substr(md5('0|fold|' || {_TEXT}), 1, 8))::BIGINT % 3 AS fold, count(*) AS "rows", 0::BIGINT AS unscored, true AS near_optimum FROM train GROUP BY 1""",
+    "ranker_comparison": _comparison_sql(),
     "gbt_binary": _BOOSTED, "gbt_lambdarank": _BOOSTED,
     "fm_pointwise": _TRAINED, "fm_bpr": _TRAINED, "fm_softmax": _TRAINED,
     "fm_step_pointwise": _step_sql("pointwise"), "fm_table_engine": _step_sql("pointwise"),
