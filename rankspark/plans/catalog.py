@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankspark.session import tune
 
-MODULES = ("ranking", "features", "studies", "checks", "training", "tails")
+MODULES = ("ranking", "features", "studies", "checks", "training", "tails", "files")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -28,7 +28,7 @@ def stream_access_counts(spark, sf_dir):
 
 def stream_latest_state(spark, sf_dir):
     stream = tails.tail_jsonl(spark, _event_log(spark, sf_dir), _EVENT, max_files=2)
-    return tails.drain(tails.latest_state(stream, "user_id", "event_id", ["split", "value"]), "complete", "latest_state")
+    return tails.upsert(tails.latest_state(stream, "user_id", "event_id", ["split", "value"]), ["user_id"], "latest_state", compact_every=2).read()
 
 
 def stream_dedup(spark, sf_dir):
@@ -39,6 +39,20 @@ def stream_dedup(spark, sf_dir):
     return tails.drain(tails.first_seen(stream, "text"), "append", "dedup").select("text_hash", F.length("text").alias("chars"))
 
 
+#: Copies of a text this far apart or closer are dropped; state older than that is forgotten.
+HORIZON = "40 days"
+
+
+def stream_dedup_within(spark, sf_dir):
+    """Messages of every user, the first of each (user, type) kept; all events lie within the horizon, as the query's SQL counts on."""
+    ev = T.table(spark, sf_dir, "events").select("event_id", F.concat_ws("|", "user_id", "event_type").alias("text"), F.col("ts").cast("timestamp").alias("at"))
+    path = scratch_path(spark, "messages")
+    ev.write.parquet(path)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    with tails.state_on_disk(spark):
+        return tails.drain(tails.first_seen(stream, "text", "at", HORIZON), "append", "dedup_within").select("text_hash", "text")
+
+
 def audit_append(spark, sf_dir):
     """Append access records in two writes, then count them."""
     ev = T.table(spark, sf_dir, "events")
@@ -64,13 +78,14 @@ def node_append(spark, sf_dir):
     return back.groupBy("iter", "status").agg(F.count(F.lit(1)).alias("nodes"), F.max(F.col("per_seed_primary")["0"]).alias("best"))
 
 
-QUERIES = {f.__name__: f for f in (stream_access_counts, stream_latest_state, stream_dedup, audit_append, node_append)}
+QUERIES = {f.__name__: f for f in (stream_access_counts, stream_latest_state, stream_dedup, stream_dedup_within, audit_append, node_append)}
 
 SQL = {
     "stream_access_counts": "SELECT event_type AS split, count(*) AS accesses FROM events WHERE event_id % 37 <> 1 GROUP BY 1",
     "stream_latest_state": """SELECT user_id, event_id, event_type AS split, value FROM events WHERE event_id % 37 <> 1
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
     "stream_dedup": "SELECT sha1(text) AS text_hash, length(text)::INTEGER AS chars FROM documents GROUP BY ALL",
+    "stream_dedup_within": "SELECT DISTINCT sha1(user_id || '|' || event_type) AS text_hash, user_id || '|' || event_type AS text FROM events",
     "audit_append": """SELECT event_type AS split, count(*) AS accesses, strftime(max(date_trunc('second', ts)), '%Y-%m-%dT%H:%M:%S') AS last,
         count(DISTINCT user_id) AS readers FROM events GROUP BY 1""",
     "node_append": "SELECT day(ts)::INTEGER AS iter, event_type AS status, count(*) AS nodes, max(value) AS best FROM events GROUP BY 1, 2",
