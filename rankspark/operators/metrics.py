@@ -60,7 +60,7 @@ def _ideal_dcg(pos: Column, k: int) -> Column:
     return total
 
 
-def _light_groups(df: DataFrame, keys: list[str], tiebreak: Sequence[str], k: int, extra: Sequence[Metric]) -> DataFrame:
+def _light_groups(df: DataFrame, keys: list[str], tiebreak: Sequence[str], k: int, extra: Sequence[Metric] = ()) -> DataFrame:
     """Average rank and position from one hash exchange and one sort.
 
     The count over the default range frame reaches the last row with the same score, so rank and count
@@ -79,7 +79,7 @@ def _light_groups(df: DataFrame, keys: list[str], tiebreak: Sequence[str], k: in
         *[a for m in extra for a in m.aggregates()])
 
 
-def _heavy_groups(df: DataFrame, keys: list[str], tiebreak: Sequence[str], k: int, extra: Sequence[Metric]) -> DataFrame:
+def _heavy_groups(df: DataFrame, keys: list[str], tiebreak: Sequence[str], k: int, extra: Sequence[Metric] = ()) -> DataFrame:
     """The same sums for groups too large for one task.
 
     Equal scores collapse before the shuffle.  The collapsed histogram is range-partitioned
