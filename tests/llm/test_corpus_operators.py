@@ -530,6 +530,40 @@ def test_topk(spark, block, part):
     assert got == want
     none = df.limit(0)
     assert topk.top_products(none, none).count() == 0 and topk.top_products(df, none).count() == 0
+    assert topk.top_products(none, df).count() == 0
+
+
+def test_topk_in_many_cells(spark):
+    """Small cells: floors carried from block to block, ties over blocks, one very common vector, an id asked twice."""
+    rng = np.random.default_rng(16)
+    rows = [(i, (rng.normal(size=6) * rng.choice([0.1, 1, 5])).tolist()) for i in range(300)] + [(i, [1.0, 0.0, -1.0, 0.5, 0.0, 2.0]) for i in range(1000, 1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([*rows[:300:10], rows[300], rows[10]], df.schema)
+    got = topk.top_products(df, asked, 5, block=16, query_block=4, held=500, lane=3, shares=True)
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = collections.Counter()
+    for q in [*[i for i, _ in rows[:300:10]], 1000, 10]:
+        best = sorted((-sum(a * b for a, b in zip(ints[q], c, strict=True)), i) for i, c in ints.items() if i != q)[:5]
+        want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    found = got.collect()
+    assert collections.Counter(tuple(r)[:4] for r in found) == want
+    assert all(0 <= r["read"] <= 1 for r in found)
+
+
+def test_lists_are_left_early(spark):
+    """Clustered vectors of few components: most queries stop, and far blocks are not read at all."""
+    rng = np.random.default_rng(17)
+    centre = rng.normal(size=(20, 4))
+    v = np.floor(256 * (centre[rng.integers(0, 20, 8192)] + rng.normal(size=(8192, 4)) * 0.05)).astype(np.int64)
+    best = topk.Best(np.arange(64), v[:64], 5)
+    for at in (0, 4096):
+        best.read(topk.SortedLists(v[at:at + 4096]), np.arange(at, at + 4096), v[at:at + 4096])
+    assert best.entries.sum() < 0.7 * best.held.sum()
+    scores = v[:64] @ v.T
+    scores[np.arange(64), np.arange(64)] = -10 ** 15
+    for i in range(64):
+        order = np.lexsort((np.arange(8192), -scores[i]))[:5]
+        assert best.vec[best.query == i].tolist() == order.tolist() and best.score[best.query == i].tolist() == scores[i, order].tolist()
 
 
 def test_bounds_enclose_scores():
