@@ -12,7 +12,8 @@ copies load one task.
 
 Defined cases: a null or wordless text has no words and is clean; a null or wordless item has no window; a null
 item id marks words but names no item; repeated items and repeated document rows each count by themselves (item ids
-are listed once); columns other than the named ones are ignored.
+are listed once); without items every document is clean, without documents there are no rows; extra columns pass through when named in ``keep``
+(all by default), but one named like a result is replaced by it; extra columns of the items are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ WINDOW = 10
 SHINGLE = 3
 #: Windows in memory at a time; about 100 bytes each on the driver, 300 with their index in a task.
 BLOCK_WINDOWS = 100_000
+RESULTS = ("n_words", "hit_mask", "items", "n_hit")
 
 
 def windows_of(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -167,7 +169,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
                   item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``keep`` columns (all by default) of every document with n_words, hit_mask (one bit per word, first word highest),
     n_hit and the sorted ``items`` of which a window occurs."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
     wins = pin(item_windows(items, item_id, item_text, window), "windows")
     blocks = max(1, -(-wins.select("window").distinct().count() // block_windows))
     dealt = wins.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))

@@ -15,7 +15,8 @@ A document's place in its source comes from sums over ``CHUNKS`` hashed chunks a
 with a third of all rows is no task of its own.
 
 Defined cases: a null or empty text has no tokens and nothing is taken of it; a null source is a source of its own, the last; repeated
-rows are documents of their own; documents sort by chunk of the id, id, size; an empty table gives no rows; extra columns pass through when named in ``keep``.
+rows are documents of their own; documents sort by chunk of the id, id, size; an empty table gives no rows; extra columns pass through when named in ``keep``
+(all by default), but one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ WEIGHTS = (5, 2, 1)
 BLOCK = 64
 SHARDS = 64
 SEED = "mix"
+RESULTS = ("size", "source_size", "target", "taken")
 #: Hashed parts of a source in which tokens are summed side by side (three hex digits).
 CHUNKS = 4096
 #: Slots that one row stands for before it is exploded.
@@ -171,20 +173,24 @@ def taken_words(mixed: Mix, keep: list[str]) -> DataFrame:
     taken = mixed.pieces.groupBy("s", "start").agg(F.sum("n").alias("taken"))
     some = mixed.placed.where("size > 0").join(taken, ["s", "start"], "left")
     none = mixed.placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return some.unionByName(none).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target",
+    return some.unionByName(none).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep) if c not in RESULTS], "size", "source_size", "target",
                                          F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
-    """``keep`` columns once for each pass that takes words of a document.  The text is the document's own where the pass takes all its words, else the
+def mixed_documents(docs: DataFrame, keep: list[str] | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
+    """``keep`` columns (all by default) once for each pass that takes words of a document.  The text is the document's own where the pass takes all its words, else the
     words taken, in order, with single spaces."""
-    rows = pin(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written once, so the number stays
-    made = mix(rows, ["__row"], doc_id, text, source, **how)
+    keep = docs.columns if keep is None else keep
+    place = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*keep, text, doc_id, source]))}  # columns of any name keep out of the way
+    rows = pin(docs.select(*[F.col(f"`{c}`").alias(p) for c, p in place.items()], F.monotonically_increasing_id().alias("row")), "rows")  # written once, so the number stays
+    made = mix(rows, ["row"], place[doc_id], place[text], place[source], **how)
     stretch = F.sort_array(F.collect_list(F.struct("first", "n")))
     passes = made.pieces.groupBy("s", "start", "size", "pass").agg(stretch.alias("stretches"), F.sum("n").alias("taken"))
-    row = made.placed.where("size > 0").select("s", "start", F.col("k0").alias("__row"))
-    found = F.regexp_extract_all(F.col(f"`{text}`").cast("string"), F.lit(TOKEN), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("stretches", lambda x: F.slice(F.col("__words"), x["first"].cast("int") + 1, x["n"].cast("int")))), " ")
-    taken = passes.join(row.hint("merge"), ["s", "start"]).select("__row", "pass", "stretches", (F.col("taken") == F.col("size")).alias("whole"))
-    joined = rows.join(taken, "__row").withColumn("__words", F.when(~F.col("whole"), found))
-    return joined.withColumn(text, F.when(F.col("whole"), F.col(f"`{text}`")).otherwise(some)).select(*[F.col(f"`{c}`") for c in keep])
+    row = made.placed.where("size > 0").select("s", "start", F.col("k0").alias("row"))
+    own = F.col(place[text])
+    found = F.regexp_extract_all(own.cast("string"), F.lit(TOKEN), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("stretches", lambda x: F.slice(F.col("found"), x["first"].cast("int") + 1, x["n"].cast("int")))), " ")
+    taken = passes.join(row.hint("merge"), ["s", "start"]).select("row", "stretches", (F.col("taken") == F.col("size")).alias("whole"))
+    joined = rows.join(taken, "row").withColumn("found", F.when(~F.col("whole"), found))
+    words = F.when(F.col("whole"), own).otherwise(some)
+    return joined.select(*[(words if c == text else F.col(place[c])).alias(c) for c in keep])

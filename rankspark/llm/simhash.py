@@ -12,7 +12,7 @@ is linked there, never all pairs.  An anchor with many fingerprints is cut into
 
 Defined cases: a text of fewer words than a shingle is one shingle; one without words (null, empty) has
 fingerprint 0 and links like any other; repeated rows share a component; a null id takes no part in the
-smallest id, and if a component has no other id its number is null; extra columns are ignored.
+smallest id, and if a component has no other id its number is null; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,14 +111,14 @@ def _visits(fps: DataFrame) -> DataFrame:
 
 def _blocked(visits: DataFrame, block: int) -> DataFrame:
     """Adds the parts (h, v) of the key: (0, 0), but anchors of more than ``block`` rows are cut, homes by hash into h and
-    all rows by hash into v, so that every home meets every fingerprint in one pair of parts."""
+    all rows by hash into v, so that every home meets every fingerprint in one pair of parts.  A crowded anchor without a home links nothing and goes."""
     crowded = pin(visits.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes"))
-                  .where((F.col("n") > block) & (F.col("homes") > 0))
+                  .where(F.col("n") > block)
                   .select("anchor", F.ceil(F.col("homes") / block).cast("int").alias("hs"), F.ceil(F.col("n") / block).cast("int").alias("vs")),
                   "crowded")
     if crowded.isEmpty():
         return visits.select("anchor", F.lit(0).alias("h"), F.lit(0).alias("v"), "home", "fp")
-    joined = visits.join(crowded, "anchor", "left").withColumn("hash", F.xxhash64("fp"))
+    joined = visits.join(crowded, "anchor", "left").where("hs is null or hs > 0").withColumn("hash", F.xxhash64("fp"))
     as_home = F.transform(F.sequence(F.lit(0), F.col("vs") - 1), lambda v: F.struct(
         F.pmod("hash", "hs").cast("int").alias("h"), v.alias("v"), F.lit(True).alias("home")))
     as_visitor = F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda h: F.struct(

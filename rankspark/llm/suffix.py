@@ -19,7 +19,7 @@ first, leave this way: their windows are dealt by a 128-bit hash of the whole wi
 
 Defined cases: null texts are empty; documents with a null id come after all others; documents with equal ids are ordered by a
 row number given when the table is written once; repeated rows are documents of their own; texts shorter than LENGTH lose nothing; an
-empty table gives no rows; extra columns pass through when named in ``keep``.
+empty table gives no rows; extra columns pass through when named in ``keep`` (all by default), but one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ from rankspark.session import pin
 
 LENGTH = 100
 KEY = 24
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
 #: Bytes of documents that a task sorts as one run; positions within a run need 24 bits.
 RUN_BYTES = 6 << 20
 #: Bytes of input per range of the exchange.
@@ -513,7 +514,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
                    run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES, at_once: int = AT_ONCE) -> DataFrame:
     """``keep`` columns (all by default) with n_bytes, n_removed, n_spans and kept, the bytes that no earlier string of ``length`` bytes covers."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
     last = F.lit((1 << 63) - 1)
     own = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
                       F.coalesce(F.col(f"`{doc_id}`").cast("long"), last).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))

@@ -201,6 +201,20 @@ def test_simhash_links_what_random_flips_link(spark, block):
     assert groups({**{f: f"alone {f}" for f in fps}, **part}) == groups(label)
 
 
+def test_crowded_anchors_without_a_home(spark):
+    """Many fingerprints of one half crowd anchors that are nobody's home; these go, and all links stay."""
+    rng = np.random.default_rng(4)
+    fps = [(7 << 32) | int(x) for x in rng.integers(0, 1 << 20, 400)]
+    fps += [f ^ 5 for f in fps[:40]]
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    label = {r["node"]: r["component"] for r in graph.connected(simhash.links(df, block=8)).collect()}
+    distinct = sorted(set(fps))
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1:]:
+            if bin(a ^ b).count("1") <= 3:
+                assert label[a] == label[b]
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(2)
     half = rng.integers(0, 1 << 32, 200, dtype=np.uint64)
@@ -574,3 +588,45 @@ def test_bounds_enclose_scores():
         low, high = lists.bounds(np.maximum(q, 0), np.minimum(q, 0), depth)
         assert (low <= q @ vectors.T).all() and (high >= q @ vectors.T).all()
     assert (low == high).all()
+
+
+# --- names, long texts
+
+#: Names of results and of columns inside the operators.
+NAMES = ("n_words", "n_hit", "hit_mask", "items", "size", "source_size", "target", "taken", "text_crc32", "shard", "slot", "n_bytes", "n_removed", "n_spans",
+         "kept", "row", "pass", "whole", "stretches", "found", "first", "n", "s", "start", "block", "c0", "k0", "id", "doc", "seq", "digest", "window", "item", "part", "place", "__text")
+
+
+@pytest.mark.parametrize(("make", "results"), [
+    (lambda d, spark: decontam.decontaminate(d, spark.createDataFrame([("i", "the the the the the the the the the the")], "item_id string, text string")), decontam.RESULTS),
+    (lambda d, spark: mixing.taken_words(mixing.mix(d), d.columns), mixing.RESULTS),
+    (lambda d, spark: mixing.mixed_documents(d), ()),
+    (lambda d, spark: sharding.shard_documents(d, 3), sharding.RESULTS),
+    (lambda d, spark: suffix.remove_repeats(d), suffix.RESULTS)])
+def test_extra_columns_of_any_name(spark, rows, make, results):
+    """All columns by default: extra ones come through unless a result bears their name, and the results are those without extra columns."""
+    plain = spark.createDataFrame(rows[:60], DOCS)
+    wide = plain.select("*", *[F.lit("x").alias(c) for c in NAMES])
+    got, want = make(wide, spark), make(plain, spark)
+    assert sorted(got.columns) == sorted({*wide.columns, *results})
+    extra = [c for c in NAMES if c not in results]
+    some = got.collect()
+    assert some and all(r[c] == "x" for r in some for c in extra)
+    same = [c for c in want.columns if c not in extra]
+    assert collections.Counter(repr([r[c] for c in same]) for r in some) == collections.Counter(repr([r[c] for c in same]) for r in want.collect())
+
+
+def test_very_long_text(spark):
+    """Some MB in one text: every operator on texts takes it whole."""
+    rng = random.Random(9)
+    long = " ".join(str(rng.randrange(10 ** 6)) for _ in range(400_000))
+    df = spark.createDataFrame([(1, long + " end", "en", "a", 0), (2, "a few words", "en", "b", 0), (3, long[-200:] + " end", "en", "a", 0)], DOCS)
+    n = 400_001
+    item = spark.createDataFrame([("i", " ".join([*long.split()[-9:], "end"]))], "item_id string, text string")
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontam.decontaminate(df, item).collect()}[1] == (n, 10)
+    sizes = {r["doc_id"]: r["size"] for r in mixing.taken_words(mixing.mix(df, ["doc_id"]), ["doc_id"]).collect()}
+    assert sizes[1] == n
+    assert {r["doc_id"]: r["size"] for r in sharding.shard_documents(df, 2, ["doc_id"]).collect()}[1] == len(long) + 12
+    cut = {r["doc_id"]: r for r in suffix.remove_repeats(df, ["doc_id"]).collect()}
+    assert cut[1]["n_bytes"] == len(long) + 4 and cut[1]["n_removed"] == 0 and cut[3]["n_removed"] == 204
+    assert {r["doc_id"]: r["fp"] for r in simhash.near_duplicates(df).collect()}.keys() == {1, 2, 3}
