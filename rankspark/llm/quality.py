@@ -1,15 +1,15 @@
 """Quality by Bradley-Terry pairwise ranking.
 
-A document is described by a few shares (repeats, capitals, symbols, ...).  Preference pairs put a good document of the labelled
-sample against a bad one: every document of the rarer label meets ``PAIRS`` of the other, drawn by hash from its numbered rows, so no cross
+A document is described by a few shares (repeats, capitals, symbols, ...).  Preference pairs put a good labelled document
+against a bad one: every document of the rarer label meets ``PAIRS`` of the other, drawn by hash from its numbered rows, so no cross
 join is made.  The logistic loss on differences of the features gives weights, and weights times features are the document's worth.  The
-threshold is a quantile of worth: of the quantiles of the labelled sample the one that separates the labels best.  Scores rise with worth
+threshold is a quantile of worth: of the quantiles of the labelled rows the one that separates the labels best.  Scores rise with worth
 and pass ``CUT`` at the threshold.
 
-Only fitting uses a sample: at most ``FIT_ROWS`` labelled rows, those with the smallest id hashes.
+Weights and threshold come from every labelled row outside the held-out part.
 
 Defined cases: a null or empty text has features 0 and gets a score like any other; rows without a label, or with a null id, are not
-fitted on; repeated label rows count again; without both labels in the sample every score is the share of label 1; extra columns pass through.
+fitted on; repeated label rows count again; without both labels among them every score is the share of label 1; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm.texts import add_columns
-from rankspark.llm.toxicity import labelled_sample
+from rankspark.llm.toxicity import labelled_rows
+from rankspark.operators.skew import dense_index
 from rankspark.session import pin
 
-FIT_ROWS = 20_000
 PAIRS = 16
 CUT = 0.3
 FEATURES = ("length", "word_length", "distinct", "doubled", "most_common", "repeated_lines", "capitals", "digits", "symbols", "bars", "shouts",
@@ -90,29 +90,43 @@ def preference_pairs(rows: DataFrame, pairs: int = PAIRS) -> DataFrame:
                                                *[(sign * (F.col(f) - F.col(f"o_{f}"))).alias(f"d_{f}") for f in FEATURES])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> Model:
+def quantiles(ranked: DataFrame, n: int, shares: list[float]) -> list[float]:
+    """Quantiles of ``worth``, interpolated, by the places of the rows in a range sort: no task holds all values."""
+    places = [share * (n - 1) for share in shares]
+    asked = sorted({int(p) for p in places} | {min(int(p) + 1, n - 1) for p in places})
+    found = {r["at"]: r["worth"] for r in dense_index(ranked, ["worth", "id"], "at").where(F.col("at").isin(asked)).select("at", "worth").collect()}
+    low = [found[int(p)] for p in places]
+    return [x + (found[min(int(p) + 1, n - 1)] - x) * (p - int(p)) for x, p in zip(low, places, strict=True)]
+
+
+def best_cut(ranked: DataFrame, cuts: list[float], good: int, bad: int) -> int:
+    """Place of the cut (ascending) with the highest share of good rows at or above it plus share of bad rows below."""
+    reached = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("worth")))
+    at = np.zeros((2, len(cuts) + 1), np.int64)
+    for r in ranked.groupBy("label", reached.alias("reached")).agg(F.count("*").alias("n")).collect():   # two rows per cut at most
+        at[r["label"], r["reached"]] = r["n"]
+    below = at.cumsum(axis=1)[:, :-1]
+    return int(np.argmax((good - below[1]) / good + below[0] / bad))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Model:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.sql import Window
 
-    sample = _with_features(labelled_sample(docs, labels, label, doc_id, text, fit_rows))
-    # the sample is bounded, so one window per label is
-    rows = pin(sample.withColumn("number", F.row_number().over(Window.partitionBy("label").orderBy(*FEATURES)) - 1), "described")
+    rows = dense_index(_with_features(labelled_rows(docs, labels, label, doc_id, text)), ["label", *FEATURES, "id"], "number")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     good, bad = counts.get(1, 0), counts.get(0, 0)
     if not good or not bad:
         share = (good + 0.5) / (good + bad + 1)
         return Model(np.zeros(len(FEATURES)), -float(np.log(share / (1 - share)) - np.log(CUT / (1 - CUT))), 1.0)
+    rows = pin(rows.withColumn("number", F.col("number") - F.when(F.col("label") == 1, bad).otherwise(0)), "described")
     names = [f"d_{f}" for f in FEATURES]
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(preference_pairs(rows))
     weights = LogisticRegression(fitIntercept=False, regParam=1e-3, maxIter=100).fit(vectors).coefficients.toArray()
     worth = sum((F.col(f) * float(w) for f, w in zip(FEATURES, weights, strict=True)), F.lit(0.0))
-    ranked = rows.select("label", worth.alias("worth"))
-    shares = [i / 400 for i in range(1, 400)]
-    cuts = ranked.agg(F.percentile("worth", F.lit(shares)).alias("q")).first()["q"]
-    right = ranked.agg(*[(F.sum(((F.col("worth") >= c) & (F.col("label") == 1)).cast("int")) / good
-                          + F.sum(((F.col("worth") < c) & (F.col("label") == 0)).cast("int")) / bad).alias(f"r{i}") for i, c in enumerate(cuts)]).first()
-    best = max(range(len(cuts)), key=lambda i: right[i])
+    ranked = rows.select("label", "id", worth.alias("worth"))
+    cuts = quantiles(ranked, good + bad, [i / 400 for i in range(1, 400)])
+    best = best_cut(ranked, cuts, good, bad)
     spread = ranked.agg(F.stddev("worth").alias("s")).first()["s"] or 1.0
     return Model(weights, float(cuts[best]), float(spread) / 3)
 

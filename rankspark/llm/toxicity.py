@@ -5,7 +5,7 @@ term of its own each), plus the text's length class.  Terms are hashed to 2^20 n
 the labels (a two-proportion z value) are kept; over them a factorization machine learns weights and pair weights, so two
 terms together can say more than their sum.
 
-Only fitting uses a sample: at most ``FIT_ROWS`` labelled rows, those with the smallest id hashes.  Scoring reads every document once and whole.
+Terms, counts and weights come from every labelled row outside the held-out part; scoring reads every document once and whole.
 
 Defined cases: a null or empty text has its length class only and gets a score like any other; rows without a label, or with a null
 id, are not fitted on; repeated label rows count again; no rows to fit on, or one class only, gives that class's share as every score;
@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +25,13 @@ from pyspark.sql import functions as F
 from rankspark.llm.texts import SLICE, add_columns, words
 from rankspark.session import pin
 
-#: Bound of the labelled sample that the model is fitted on.
-FIT_ROWS = 12_000
 TERMS = 2048
 HASH_BITS = 20
 FACTORS = 8
 BEGINNINGS = range(3, 8)
 MOST_COUNT = 4
+#: Characters of texts whose terms are found together; a longer text is taken alone.
+CHARS = 1 << 20
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -40,6 +39,18 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(f"`{doc_id}`").cast("string")) % 5 == 0
 
 
+def portions(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """(place of the first, texts) of runs of at most ``CHARS`` characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > CHARS and i > at:
+            yield at, texts[at:i]
+            at, size = i, len(t or "")
+    if at < len(texts):
+        yield at, texts[at:]
+
+
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,6 +135,9 @@ class Model:
         terms, w, v = Terms(self.kept), self.weights, self.factors
 
         def score(texts: list[str | None]) -> tuple[list[float]]:
+            return ([x for _, part in portions(texts) for x in scores(part)],)
+
+        def scores(texts: list[str | None]) -> list[float]:
             doc, at = terms.of_many(texts)
             n = len(texts)
             sums = np.zeros((n, v.shape[1] if v.ndim == 2 else 0))
@@ -132,58 +146,65 @@ class Model:
                 sums[doc[begin]] = np.add.reduceat(v[at], begin, axis=0)
             squares = np.bincount(doc, np.square(v).sum(axis=1)[at], n)
             x = self.bias + np.bincount(doc, w[at], n) + 0.5 * (np.square(sums).sum(axis=1) - squares)
-            return ((1 / (1 + np.exp(-np.clip(x, -30, 30)))).tolist(),)
+            return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).tolist()
         return score
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", most: int = FIT_ROWS) -> DataFrame:
-    """(text, label) of at most ``most`` labelled rows outside the held-out part, picked by id hash."""
-    picked = (labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
-              .where(~held_out("id")).orderBy(F.xxhash64("id"), "id", "label").limit(most))
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    return own.join(F.broadcast(picked), "id").select("text", "label")
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text, label) of every labelled row outside the held-out part."""
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("id"))
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(~held_out("id"))
+    return own.join(known, "id").select("id", "text", "label")
 
 
 def _informative(sample: DataFrame, most: int) -> tuple[list[int], int, int]:
     """Numbers of the ``most`` terms by z value, and the rows of either label."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms()
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        terms, each = Terms(), np.zeros((2, 1 << HASH_BITS), np.int64)
         for batch in batches:
-            each = np.zeros((2, 1 << HASH_BITS), np.int64)
-            for at in range(0, len(batch), SLICE):
-                doc, found = terms.of_many(batch["text"].iloc[at:at + SLICE].tolist())
-                np.add.at(each, (batch["label"].to_numpy()[at + doc], found), 1)
-            seen = np.flatnonzero(each.any(axis=0))
-            yield pd.DataFrame({"term": seen, "negative": each[0][seen], "positive": each[1][seen]})
+            for start in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(start, SLICE)
+                label = rows.column("label").to_numpy()
+                for at, part in portions(rows.column("text").to_pylist()):
+                    doc, found = terms.of_many(part)
+                    np.add.at(each, (label[at + doc], found), 1)
+        seen = np.flatnonzero(each.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(each[0][seen]), pa.array(each[1][seen])], ["term", "negative", "positive"])
     n0, n1 = (sample.groupBy().pivot("label", [0, 1]).count().na.fill(0).first() or (0, 0))
     if not n0 or not n1:
         return [], n0 or 0, n1 or 0
     p, q = F.col("positive") / n1, F.col("negative") / n0
     share = (F.col("positive") + F.col("negative")) / (n0 + n1)
     z = F.abs(p - q) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-9)
-    sums = sample.mapInPandas(count, "term long, negative long, positive long").groupBy("term").agg(
+    sums = sample.mapInArrow(count, "term long, negative long, positive long").groupBy("term").agg(
         F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
     best = sums.where("negative + positive >= 3").select("term", z.alias("z")).orderBy(F.desc("z"), "term").limit(most)
     return sorted(r["term"] for r in best.collect()), n0, n1
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS,
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text",
         terms: int = TERMS, seed: int = 7) -> Model:
     from pyspark.ml.classification import FMClassifier
     from pyspark.ml.feature import CountVectorizerModel
 
-    sample = pin(labelled_sample(docs, labels, label, doc_id, text, fit_rows), "labelled")
+    sample = pin(labelled_rows(docs, labels, label, doc_id, text), "labelled")
     kept, n0, n1 = _informative(sample, terms)
     if not kept:
         share = (n1 + 0.5) / (n0 + n1 + 1)
         return Model([], float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Terms(kept)
-        for batch in batches:
-            named = [[str(kept[i]) for i in own.of(t)] for t in batch["text"]]
-            yield pd.DataFrame({"label": batch["label"], "terms": named})
-    rows = pin(sample.mapInPandas(found, "label int, terms array<string>"), "terms")
+    def make():
+        own, names = Terms(kept), np.array([str(h) for h in kept], object)
+
+        def found(texts: list[str | None]) -> tuple[list[list[str]]]:
+            out = []
+            for _, part in portions(texts):
+                doc, at = own.of_many(part)
+                out += [x.tolist() for x in np.split(names[at], np.searchsorted(doc, np.arange(1, len(part))))]
+            return (out,)
+        return found
+    rows = pin(add_columns(sample.select("label", "text"), {"terms": "array<string>"}, ["text"], make).select("label", "terms"), "terms")
     vectors = CountVectorizerModel.from_vocabulary([str(h) for h in kept], "terms", "features").setBinary(True).transform(rows)
     machine = FMClassifier(factorSize=FACTORS, maxIter=150, stepSize=0.05, regParam=1e-4, initStd=0.02, seed=seed).fit(vectors)
     return Model(kept, float(machine.intercept), machine.linear.toArray(), machine.factors.toArray())
