@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.functions import MIX_PRIME, hash60, replicate_mix
+from rankspark.functions import MIX_PRIME, hash60
 from rankspark.operators.skew import number_within
+from rankspark.session import pin
 
 # The decision thresholds.
 CONTINUE_P, CONTINUE_MARGIN = 0.8, 0.0
@@ -18,7 +19,10 @@ CONFIRM_P = 0.9
 PROMOTE_MARGIN = 0.0005
 NO_OP_EPSILON = 1e-9
 
-#: Most deltas (about 40 bytes each) the resampling join broadcasts; beyond it both sides shuffle.
+#: Values (8 bytes each) of one group that a resampling task holds, and draws that it makes at least.
+BLOCK_VALUES = 1 << 22
+TASK_DRAWS = 400_000_000
+#: Groups whose sizes are sent to the tasks at most.
 BROADCAST_ROWS = 500_000
 
 #: Cumulative Poisson(1) probabilities; a uniform draw exceeds as many of them as its weight.  The next one lies beyond the
@@ -68,14 +72,82 @@ def _poisson_sums(deltas: DataFrame, by: list[str], order: Sequence[str], draws:
     return rows.mapInPandas(add_up, schema).groupBy(*by, "b").agg(F.sum("w").alias("w"), F.sum("wd").alias("wd"))
 
 
+def _packed(numbered: DataFrame, by: list[str]) -> DataFrame:
+    """Values of positions [block * BLOCK_VALUES, ...) of a group as bytes in one row; ``known`` has a byte for each that is not null."""
+    rows = numbered.select(*by, F.floor(F.col("_i") / BLOCK_VALUES).alias("block"), "_i", "delta")
+    rows = rows.repartition(*by, "block").sortWithinPartitions(*by, "block", "_i").drop("_i")
+    schema = rows.select(*by, "block").schema.add("values", "binary").add("known", "binary")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, parts = None, []
+
+        def done() -> pd.DataFrame:
+            values = np.concatenate(parts)
+            return head[[*by, "block"]].assign(values=[np.nan_to_num(values, nan=0.0, posinf=np.inf, neginf=-np.inf).tobytes()], known=[(~np.isnan(values)).tobytes()])
+        for batch in batches:
+            for _, part in batch.groupby([*by, "block"], dropna=False, sort=False):
+                first = part.iloc[:1]
+                if head is not None and not head[[*by, "block"]].reset_index(drop=True).equals(first[[*by, "block"]].reset_index(drop=True)):
+                    yield done()
+                    parts = []
+                head = first
+                parts.append(part["delta"].to_numpy(np.float64))
+        if parts:
+            yield done()
+    return rows.mapInPandas(pack, schema)
+
+
+def _multinomial_sums(deltas: DataFrame, by: list[str], order: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """Draws and their sum per (by, replicate).  A task makes the draws of some rows of a group and looks them up in one block of its values."""
+    numbered = pin(number_within(deltas.select(*by, *order, "delta"), by, list(order), "_i").select(*by, "_i", "delta"), "numbered")
+    sizes = pin(numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    few = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
+    tasks = max(deltas.sparkSession.sparkContext.defaultParallelism, -(-(few["rows"] or 0) * draws // TASK_DRAWS))
+    share = -(-(few["rows"] or 0) // tasks) or 1                              # rows of a task
+    rows = numbered.join(F.broadcast(sizes) if few["groups"] <= BROADCAST_ROWS else sizes, by).select(
+        *by, "_n", hash60(F.lit(seed), *by, "_i").alias("_h"), F.pmod("_i", F.ceil(F.col("_n") / share)).alias("part"))
+    last = F.floor((F.col("_n") - 1) / BLOCK_VALUES)
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    parts = F.ceil(F.col("_n") / share)
+    blocks = _packed(numbered, by).join(F.broadcast(sizes) if few["groups"] <= BROADCAST_ROWS else sizes, by).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_n")
+    schema = numbered.select(*by).schema.add("b", "integer").add("w", "double").add("wd", "double")
+    low, b = (1 << 30) - 1, np.arange(draws, dtype=np.int64)
+
+    def add_up(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or block.empty:
+            return pd.DataFrame(columns=[*by, "b", "w", "wd"])
+        values, known = np.frombuffer(block["values"].iloc[0], np.float64), np.frombuffer(block["known"].iloc[0], np.bool_).astype(np.float64)
+        start, n, total = int(block["block"].iloc[0]) * BLOCK_VALUES, int(own["_n"].iloc[0]), np.zeros((2, draws))
+        whole, h = len(values) == n, own["_h"].to_numpy(np.int64)
+        for at in range(0, len(h), 500):
+            part = h[at:at + 500, None]
+            x = ((part & low) + b * 1000003) % MIX_PRIME
+            first = (x * x + (part >> 30)) % MIX_PRIME
+            # 62 bits: any position can be drawn
+            place = (first * (1 << 31) + (first * first + (part & low)) % MIX_PRIME) % n
+            if whole:
+                total += known[place].sum(axis=0), values[place].sum(axis=0)
+            else:
+                place -= start
+                here = (place >= 0) & (place < len(values))
+                place[~here] = 0
+                total += (known[place] * here).sum(axis=0), np.where(here, values[place], 0.0).sum(axis=0)
+        out = pd.concat([own[by].iloc[:1]] * draws, ignore_index=True)
+        return out.assign(b=b.astype(np.int32), w=total[0], wd=total[1])
+    keys = [*by, "part", "block"]
+    sums = rows.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(add_up, schema)
+    return sums.groupBy(*by, "b").agg(F.sum("w").alias("w"), F.sum("wd").alias("wd"))
+
+
 def paired_bootstrap(deltas: DataFrame, by: Sequence[str] = ("node_id",), draws: int = 500, seed: int = 0,
                      method: str = "poisson", order: Sequence[str] = ("seed", "user_id"),
                      cluster: str | None = None) -> DataFrame:
     """Mean delta, share of replicate means above 0, one-sided 5% lower bound.
 
     ``poisson`` (default) weights each row independently per replicate; each task sends one sum per group and
-    replicate.  ``multinomial`` resamples n of n with replacement: draws are rows, matched by an equi
-    join on the position, so n * draws rows are shuffled.  ``cluster`` averages per that key first, so repeated
+    replicate.  ``multinomial`` resamples n of n with replacement: tasks draw positions for their rows and look them up in a
+    block of the group's values, so sums are shuffled, not n * draws rows.  ``cluster`` averages per that key first, so repeated
     seeds of a user count once.
     """
     by = list(by)
@@ -85,20 +157,7 @@ def paired_bootstrap(deltas: DataFrame, by: Sequence[str] = ("node_id",), draws:
     if method == "poisson":
         means = _poisson_sums(deltas, by, order, draws, seed).where("w > 0").select(*by, "b", (F.col("wd") / F.col("w")).alias("m"))
     elif method == "multinomial":
-        replicates, total = F.sequence(F.lit(0), F.lit(draws - 1)), deltas.count()
-        # every row grows ``draws`` times inside its task, so the small input is spread by its final size
-        tasks = max(deltas.sparkSession.sparkContext.defaultParallelism, total * draws // 4_000_000)
-        numbered = number_within(deltas.select(*by, *order, "delta"), by, list(order), "_i")
-        sizes = deltas.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        first, second = replicate_mix("_h", "b")
-        pick = (first * F.lit(1 << 31) + second) % F.col("_n")      # 62 bits: any position can be drawn
-        picks = (numbered.join(sizes, by).repartition(tasks, *by, "_i").select(*by, "_n", hash60(F.lit(seed), *by, "_i").alias("_h"))
-                 .withColumn("b", F.explode(replicates)).select(*by, "b", pick.alias("_i")))
-        values = numbered.select(*by, "_i", "delta")
-        # draws outnumber values by ``draws`` to one: keep them in place while the values are few
-        if total <= BROADCAST_ROWS:
-            values = F.broadcast(values)
-        means = picks.join(values, [*by, "_i"]).groupBy(*by, "b").agg(F.avg("delta").alias("m"))
+        means = _multinomial_sums(deltas, by, order, draws, seed).where("w > 0").select(*by, "b", (F.col("wd") / F.col("w")).alias("m"))
     else:
         raise ValueError(f"unknown method {method!r}")
     # at most ``draws`` rows per group from here on

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -47,6 +48,28 @@ def test_bootstrap_matches_theory(spark, method):
     assert r["p_positive"] == pytest.approx(0.5 * (1 + math.erf(mean / se / math.sqrt(2))), abs=0.04)
 
 
+def test_multinomial_draws_meet_blocks_of_values(spark, monkeypatch):
+    """Tasks look their draws up in blocks of a group; the result is that of one table of all values."""
+    rows = [(g, 0, f"u{i:03d}", (i * 37 % 101) / 100 - 0.45) for g, n in (("a", 53), ("b", 20), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame([*rows, ("b", 0, "u900", None)], "node_id string, seed int, user_id string, delta double")
+    monkeypatch.setattr(B, "BLOCK_VALUES", 7)
+    got = {r["node_id"]: r for r in B.paired_bootstrap(df, draws=40, method="multinomial").collect()}
+    for g in "abc":
+        values = [r[3] for r in rows if r[0] == g] + [None] * (g == "b")
+        means = []
+        for b in range(40):
+            drawn = []
+            for i in range(len(values)):
+                h = int(hashlib.md5(f"0|{g}|{i}".encode()).hexdigest()[:15], 16)
+                low, prime = h & (1 << 30) - 1, B.MIX_PRIME
+                first = (((low + b * 1000003) % prime) ** 2 + (h >> 30)) % prime
+                drawn.append(values[(first * 2 ** 31 + (first * first + low) % prime) % len(values)])
+            drawn = [v for v in drawn if v is not None]
+            means.append(sum(drawn) / len(drawn))
+        assert got[g]["p_positive"] == pytest.approx(sum(m > 0 for m in means) / 40)
+        assert got[g]["lower_95"] == pytest.approx(sorted(means)[2])
+
+
 def test_clustered_bootstrap_averages_seeds_first(spark):
     d = deltas(spark, {s: {"u1": .6, "u2": .4} for s in range(3)}, {s: {"u1": .5, "u2": .5} for s in range(3)})
     assert B.paired_bootstrap(d, draws=50, cluster="user_id").first()["n"] == 2
