@@ -107,3 +107,18 @@ def test_split_checks(spark):
     df = spark.createDataFrame([(1, 10), (1, 10), (2, 20)], "x int, date int")
     assert P.difference_rows(df, df.limit(3)).isEmpty()
     assert P.difference_rows(df, df.distinct()).collect()[0]["surplus"] == 1
+
+
+def test_vocabulary_hashes_first_places_instead_of_sorting_cells(spark, monkeypatch):
+    """The first place of a value is a minimum of numbers; nulls of the order come first, as in a sort."""
+    from rankspark.operators import vocab
+
+    seen = []
+    numbered = vocab.dense_index
+    monkeypatch.setattr(vocab, "dense_index", lambda df, *a: seen.append(df) or numbered(df, *a))
+    rows = spark.createDataFrame([(2, 1, "b", "x"), (1, 9, "a", None), (None, 5, "c", "y"), (1, 2, "b", "x"), (3, 0, "d", None)], "o int, p int, f string, g string")
+    model = vocab.CategoricalIndexer(vocab.named_fields("f", "g")).fit(rows, ["o", "p"])
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    got = {(r["field"], r["value"]): r["feature_id"] for r in model.vocabulary().collect()}
+    assert got == {("f", "c"): 0, ("f", "b"): 1, ("f", "a"): 2, ("f", "d"): 3, ("g", "y"): 5, ("g", "x"): 6, ("g", "UNK"): 7}
