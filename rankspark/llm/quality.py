@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm.texts import add_columns
-from rankspark.llm.toxicity import labelled_rows
+from rankspark.llm.toxicity import known_labels, learnable
 from rankspark.operators.skew import dense_index
 from rankspark.session import pin
 
@@ -113,7 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    rows = dense_index(_with_features(labelled_rows(docs, labels, label, doc_id, text)), ["label", *FEATURES, "id"], "number")
+    # texts are described before they meet their labels: 13 numbers a document are shuffled, never a text
+    described_rows = _with_features(learnable(docs, doc_id, text)).join(known_labels(labels, label, doc_id), "id").select("id", *FEATURES, "label")
+    rows = dense_index(pin(described_rows, "labelled"), ["label", *FEATURES, "id"], "number")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     good, bad = counts.get(1, 0), counts.get(0, 0)
     if not good or not bad:

@@ -150,11 +150,22 @@ class Model:
         return score
 
 
+def known_labels(labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFrame:
+    """(id, label) of every label outside the held-out part."""
+    return labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("id"))
+
+
+def learnable(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text) of every document outside the held-out part."""
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(~held_out("id"))
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, label) of every labelled row outside the held-out part."""
-    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("id"))
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(~held_out("id"))
-    return own.join(known, "id").select("id", "text", "label")
+    """(id, text, label) of every labelled row outside the held-out part.
+
+    Both sides are shuffled at any size, so labels are never sent whole to every task.
+    """
+    return learnable(docs, doc_id, text).join(known_labels(labels, label, doc_id).hint("merge"), "id").select("id", "text", "label")
 
 
 def _informative(sample: DataFrame, most: int) -> tuple[list[int], int, int]:

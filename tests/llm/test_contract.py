@@ -50,3 +50,21 @@ def test_best_cut_is_that_of_counting(spark):
     right = [sum(y and w >= c for y, w in rows) / good + sum((not y) and w < c for y, w in rows) / (300 - good) for c in cuts]
     df = spark.createDataFrame([(int(y), w) for y, w in rows], "label int, worth double")
     assert right[quality.best_cut(df, cuts, good, 300 - good)] == pytest.approx(max(right), abs=1e-12)
+
+
+def test_no_text_is_shuffled_for_the_quality_labels_and_no_label_is_broadcast(spark, monkeypatch):
+    """Disk and memory grow with the rows alike at every size: quality joins descriptions, toxicity never broadcasts its labels."""
+    from pyspark.sql import functions as F
+
+    from rankspark.llm import quality, toxicity
+
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("Some words "), F.repeat(F.lit("x "), F.col("id").cast("int"))).alias("text"))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"), (F.col("id") % 2).alias("toxic"))
+    seen = []
+    pin = quality.pin
+    monkeypatch.setattr(quality, "pin", lambda df, name: seen.append((name, df)) or pin(df, name))
+    quality.fit(docs, labels)
+    joined = dict(seen)["labelled"]
+    assert "text" not in joined.columns and joined.count() == toxicity.labelled_rows(docs, labels, "quality").count()
+    plan = toxicity.labelled_rows(docs, labels, "toxic")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
