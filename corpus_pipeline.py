@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import decontam, mixing, nearcopies, sharding, toxicity
+from rankspark.llm import decontam, mixing, nearcopies, sharding, simhash, toxicity
 from rankspark.llm.queries import read
 from rankspark.session import pin
 
@@ -27,9 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of 5-word shingles at least 0.8, directly or by steps) the document with the
-    smallest id, of equal ids the one with the smallest row number; documents without an id stay."""
+    smallest id, of equal ids the one with the smallest row number; documents without an id stay.  Compared are documents that op4's
+    fingerprints link and those that share a min-hash key."""
     own = pin(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
-    named = nearcopies.near_copies(own.select("row", "text")).join(own.select("row", "doc_id"), "row").where("doc_id is not null")
+    groups = nearcopies.near_copies(own.select("row", "text"), likely=simhash.linked_rows(own))
+    named = groups.join(own.select("row", "doc_id"), "row").where("doc_id is not null")
     first = named.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
     return own.join(first, "row", "left_semi").unionByName(own.where("doc_id is null")).select(*COLUMNS)
 

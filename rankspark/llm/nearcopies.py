@@ -12,7 +12,7 @@ if a key is equal, which a pair at exactly 0.8 misses with probability (1 - 0.8^
    pairs of a key and of different components for which this reaches 0.8 are compared, after nodes that reach it with no
    other component of the key have gone.  So no link between two nodes of a key is lost: they are joined by links, compared, or shown to be unlike.
 
-Comparisons read the words themselves; set sizes that rule 0.8 out are left out before.
+Pairs that another method proposes (``likely``) are compared in the first step.  Comparisons read the words themselves; set sizes that rule 0.8 out are left out before.
 
 Defined cases: a text of fewer words than a shingle is one shingle; texts without words (null, empty) are copies of each other only; repeated rows are copies;
 an empty table gives no rows; columns other than row and text are ignored.
@@ -113,15 +113,23 @@ def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(mixed, "key", "left_semi")
 
 
-def links(nodes: DataFrame, docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Links (a, b) that join what is similar, directly or by steps.  ``nodes``: node, first (its row whose text is read), n, keys."""
+def links(nodes: DataFrame, docs: DataFrame, size: int = SHINGLE, least: float = LEAST, likely: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that join what is similar, directly or by steps.  ``nodes``: node, first (its row whose text is read), n, keys;
+    ``likely``: further pairs (a, b) of nodes to compare."""
     dealt = pin(nodes.select("node", "n", F.explode("keys").alias("key")), "keys")
     fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * (least - 1e-9)
     lead = (dealt.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
             .select("key", F.col("lead.node").alias("a"), F.col("lead.n").alias("m")))
     shared = pin(dealt.join(lead, "key"), "shared")
-    pairs = pin(shared.where("node <> a").where(fits("m", "n")).select("a", F.col("node").alias("b")).distinct(), "pairs")
-    many = shared.select("node").distinct().join(nodes, "node").select("node", F.col("first").alias("row"))
+    pairs = shared.where("node <> a").where(fits("m", "n")).select("a", F.col("node").alias("b"))
+    many = shared.select("node")
+    if likely is not None:
+        sizes = lambda node, n: nodes.select(F.col("node").alias(node), F.col("n").alias(n))
+        likely = pin(likely.join(sizes("a", "m"), "a").join(sizes("b", "n"), "b").where(fits("m", "n")).select("a", "b").distinct(), "likely")
+        pairs = pairs.unionByName(likely)
+        many = many.union(likely.select("a")).union(likely.select("b"))
+    pairs = pin(pairs.distinct(), "pairs")
+    many = many.distinct().join(nodes, "node").select("node", F.col("first").alias("row"))
     texts = pin(docs.join(many, "row").select("node", "text"), "texts")
     found = pin(_checked(pairs, texts, size, least), "found")
     left = pin(_mixed(shared.select("key", "node", "n"), found), "mixed")
@@ -166,9 +174,13 @@ def _by_bound(rest: DataFrame, least: float) -> DataFrame:
     return live.join(right, "key").where("node < b and component <> other").where(reach).select(F.col("node").alias("a"), "b").distinct()
 
 
-def near_copies(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(row, component) of every row of ``docs``: row (unique), text."""
+def near_copies(docs: DataFrame, size: int = SHINGLE, least: float = LEAST, likely: DataFrame | None = None) -> DataFrame:
+    """(row, component) of every row of ``docs``: row (unique), text.  ``likely``: pairs (a, b) of rows that are compared besides those that share a key."""
     own = pin(_signed(docs.select("row", "text"), size), "signatures")
     nodes = own.groupBy("node").agg(F.min(F.struct("row", "n", "keys")).alias("s")).select("node", F.col("s.row").alias("first"), "s.n", "s.keys")
-    found = connected(links(pin(nodes, "nodes"), docs, size, least))
+    if likely is not None:
+        node = lambda row, name: own.select(F.col("row").alias(row), F.col("node").alias(name))
+        likely = (likely.join(node("a", "x"), "a").join(node("b", "y"), "b").where("x <> y")
+                  .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    found = connected(links(pin(nodes, "nodes"), docs, size, least, likely))
     return own.join(found, "node", "left").select("row", F.coalesce("component", "node").alias("component"))

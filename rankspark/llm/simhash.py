@@ -188,3 +188,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = named.join(least, "component").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def linked_rows(docs: DataFrame, row: str = "row", text: str = "text", size: int = SHINGLE, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of rows of ``docs`` that join what the fingerprints link: every row with the smallest of its fingerprint, and those of linked ones."""
+    own = pin(with_fingerprint(docs.select(F.col(f"`{row}`").alias("a"), F.col(f"`{text}`").cast("string").alias("t")), "t", size).select("a", "fp"), "fingerprints")
+    lead = pin(own.groupBy("fp").agg(F.min("a").alias("b"), F.count("*").alias("n")), "leads")
+    same = own.join(lead.where("n > 1"), "fp").where("a <> b").select("a", "b")
+    near = pin(links(lead, most, block).toDF("x", "y"), "near")
+    named = lambda fp, name: lead.select(F.col("fp").alias(fp), F.col("b").alias(name))
+    return same.unionByName(near.join(named("x", "a"), "x").join(named("y", "b"), "y").select("a", "b"))

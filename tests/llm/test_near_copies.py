@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from rankspark.llm import nearcopies
+from rankspark.llm.simhash import fingerprint
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -88,3 +89,18 @@ def test_rows_of_one_id_are_documents_of_their_own(spark):
 
 def test_stage_of_nothing(spark):
     assert stage(spark, []).count() == 0
+
+
+def test_fingerprints_propose_pairs_too(spark, monkeypatch):
+    """No key is shared: only the fingerprints bring the near copies together, and the exact check keeps what is unlike apart."""
+    rng = random.Random(5)
+    rows = []
+    for block, tail in (("v", 2), ("w", 60)):  # repeats weigh in a fingerprint, not in a set of shingles
+        for _ in range(2):
+            words = [f"{block}{i}" for i in range(51)] * 20 + [f"t{rng.random()}" for _ in range(tail)]
+            rows.append((len(rows), " ".join(words)))
+    assert brute_kept(rows) == [0, 2, 3]
+    assert all((fingerprint(rows[i][1]) ^ fingerprint(rows[i + 1][1])).bit_count() <= 3 for i in (0, 2))
+    real = nearcopies.signature
+    monkeypatch.setattr(nearcopies, "signature", lambda t, size=5: (*real(t, size)[:2], []))
+    assert sorted(r["doc_id"] for r in stage(spark, rows).collect()) == [0, 2, 3]
