@@ -221,11 +221,11 @@ def base_indexer(rows):
 
 
 def vocabulary(spark, sf_dir):
-    return base_indexer(split_impressions(spark, sf_dir)).vocabulary()
+    return base_indexer(pin(split_impressions(spark, sf_dir), "rows")).vocabulary()
 
 
 def encoded_rows(spark, sf_dir):
-    rows = split_impressions(spark, sf_dir)
+    rows = pin(split_impressions(spark, sf_dir), "rows")    # edges, vocabulary and encoding read the joined rows some six times
     return base_indexer(rows).transform(rows).select(
         *KEY, "f_user_id", "f_item_id", "f_author_id", "f_tab", "f_dur_bucket")
 
