@@ -253,7 +253,7 @@ def indexer_for(rows, mode: str):
 
 
 def encoded_rows_wide(spark, sf_dir):
-    rows = wide_rows(spark, sf_dir)
+    rows = pin(wide_rows(spark, sf_dir), "rows")
     out = indexer_for(rows, "full").transform(rows)
     return out.select(*KEY, "f_brand", "f_kind", "f_segment", "f_nation", F.size("features").alias("n_fields"))
 
