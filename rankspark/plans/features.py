@@ -81,9 +81,10 @@ def dense_row_ids(spark, sf_dir):
 def csv_log_round_trip(spark, sf_dir):
     """Write the log as two CSV files, read them back in file order and number the rows."""
     rows = split_impressions(spark, sf_dir)
-    raw = rows.select("date", F.col("user_id").cast("string"), F.col("item_id").cast("string").alias("video_id"),
+    # written once: either file's sort reads its rows twice
+    raw = pin(rows.select("date", F.col("user_id").cast("string"), F.col("item_id").cast("string").alias("video_id"),
                       "tab", "duration_ms", F.col("label").cast("string").alias("long_view"), "order_id", "line_no",
-                      "author_id")
+                      "author_id"), "log")
     paths = []
     for name, cond in (("early", F.col("date") <= T.SPLITS["train"][1]), ("late", F.col("date") > T.SPLITS["train"][1])):
         path = scratch_path(spark, f"log_{name}")
