@@ -70,12 +70,11 @@ def promotion_ladder(df: DataFrame, value: str, baseline: float, study: Sequence
 def implausible_scores(df: DataFrame, value: str, threshold: float | None = None, study: Sequence[str] = STUDY,
                        order: Sequence[str] = ("iter", "id")) -> DataFrame:
     """Scores above the ceiling, above a threshold, or a jump over the best score before them."""
-    best = running(df, study, order, value, "max", "_best")
-    back = step_back(best, study, order, {"_prev": ("_best", 1)})
+    back = running(df, study, order, value, "max", "_prev", before=True)
     jump = F.coalesce(F.col(value) - F.col("_prev") > IMPLAUSIBLE_JUMP, F.lit(False))
     over = F.col(value) > F.lit(threshold) if threshold is not None else F.lit(False)
     flag = (F.col(value) > IMPLAUSIBLE_CEILING) | over | jump
-    return back.where(F.coalesce(flag, F.lit(False))).drop("_best", "_prev")
+    return back.where(F.coalesce(flag, F.lit(False))).drop("_prev")
 
 
 def session_wallclock(df: DataFrame, elapsed: str = "elapsed_s", study: Sequence[str] = STUDY,

@@ -167,7 +167,8 @@ def promotion_ladder(spark, sf_dir):
 
 
 def implausible_jumps(spark, sf_dir):
-    return X.implausible_scores(study_nodes(spark, sf_dir), "primary", threshold=0.5995).select("study_id", "iter", "id", "primary")
+    nodes = study_nodes(spark, sf_dir).select("study_id", "iter", "id", "primary")     # rows are sorted and written whole
+    return X.implausible_scores(nodes, "primary", threshold=0.5995)
 
 
 def wallclock_by_session(spark, sf_dir):

@@ -1,8 +1,11 @@
 """Joined rows are written once and read by every later step; rules, boosting and studies leave out work that nothing reads."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from rankspark.operators.dense import DenseFeatures
+from rankspark.operators.skew import running
 
 
 def test_rows_meet_their_item_once(spark):
@@ -17,3 +20,18 @@ def test_rows_meet_their_item_once(spark):
     want = {r["item_id"]: (r["p"] + 10.0 * (r["p"] + 20.0 * model.mean) / (r["n"] + 20.0)) / (r["n"] + 10.0) for r in sums.collect()}
     for r in out.collect():
         assert abs(r["item_rate_by_user_bucket"] - want[r["item_id"]]) < 1e-12
+
+
+def test_running_before_this_row(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(2), i, rng.choice([None, rng.randrange(100)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, i int, v long")
+    for kind, combine in (("max", max), ("sum", lambda a, b: a + b)):
+        want, last = {}, {}
+        for k, i, v in rows:
+            want[i] = last.get(k)
+            if v is not None:
+                last[k] = v if last.get(k) is None else combine(last[k], v)
+        for bound in (1000, 4):
+            got = {r["i"]: r["m"] for r in running(df, ["k"], ["i"], "v", kind, "m", max_rows=bound, before=True).collect()}
+            assert got == want
