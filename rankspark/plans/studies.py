@@ -24,7 +24,7 @@ SEEDS = (0, 1, 2)
 
 def scored_nodes(spark, sf_dir, split: str):
     """Three runs of four scorers on one split: random root, its exact copy, item and author rates."""
-    rows = split_impressions(spark, sf_dir)
+    rows = pin(split_impressions(spark, sf_dir).where(F.col("split").isin("train", split)), "rows")
     train = rows.where("split = 'train'")
     part = R.popularity_scores(train, rows.where(F.col("split") == split), name="_item")
     part = R.popularity_scores(train, part, item="author_id", name="_author")
@@ -33,6 +33,8 @@ def scored_nodes(spark, sf_dir, split: str):
         chance = hash_uniform(F.lit(s), *KEY)
         for node, score in (("root", chance), ("copy", chance), ("item", F.col("_item")), ("author", F.col("_author"))):
             cells.append(F.struct(F.lit(node).alias("node_id"), F.lit(s).alias("seed"), score.alias("score")))
+    # dealt out by user before a row becomes twelve: the groups of a user meet without another shuffle
+    part = part.select("user_id", "label", *KEY, "_item", "_author").repartition("user_id")
     return part.select("user_id", "label", *KEY, F.inline(F.array(*cells)))
 
 
