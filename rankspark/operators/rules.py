@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from rankspark.operators.validate import AUXILIARY_SIGNALS, NON_CAUSAL_COLUMNS
 
+#: Rule numbers: test rows, denied columns, external assets, auxiliary signals.
+RULES = (1, 2, 3, 4)
+
 # The patterns of the four rules.  (?U) gives word edges their Unicode meaning.
 TEST_EXPLICIT = (r"""(?iU)(get_split\s*\(\s*['"]test['"]|splits\s*\[\s*['"]test['"]\s*\]|--split\s+test|"""
                  r"""split\s*=\s*['"]test['"]|[\w]*_?test_?[\w]*\.csv|\bX_?te\b|\bXte\b|\by_?te\b|\byte\b|"""
@@ -115,9 +118,9 @@ def _rule_auxiliary(s: Column, rs: RuleSet) -> Column:
     return F.filter(hits, lambda h: h["detail"].isNotNull())
 
 
-def raw_hits(added: Column, rs: RuleSet) -> Column:
-    """All rule hits before excuses, in rule, line and name order."""
-    rules = (_rule_test, _rule_denied, _rule_external, _rule_auxiliary)
+def raw_hits(added: Column, rs: RuleSet, only: Sequence[int] = RULES) -> Column:
+    """Hits of the rules named before excuses, in rule, line and name order."""
+    rules = [r for n, r in enumerate((_rule_test, _rule_denied, _rule_external, _rule_auxiliary), 1) if n in only]
 
     def over_lines(rule) -> Column:
         return F.flatten(F.transform(added, lambda s: rule(s, rs)))
@@ -132,15 +135,16 @@ def excuse(hits: Column, added: Column, rs: RuleSet, reach: int = MARKER_REACH)
     return F.filter(hits, lambda h: (h["rule"] != 2) | ~near(h))
 
 
-def scan_changes(df: DataFrame, text: str = "text", rules: RuleSet | None = None, excused: bool = True) -> DataFrame:
-    """Adds ``added`` and ``hits`` arrays to every change."""
+def scan_changes(df: DataFrame, text: str = "text", rules: RuleSet | None = None, excused: bool = True, only: Sequence[int] = RULES) -> DataFrame:
+    """Adds ``added`` and ``hits`` arrays to every change; only the rules named are looked for."""
     rs = rules or RuleSet()
-    out = df.withColumn("added", added_lines(F.col(text))).withColumn("hits", raw_hits(F.col("added"), rs))
-    return out.withColumn("hits", excuse(F.col("hits"), F.col("added"), rs)) if excused else out
+    out = df.withColumn("added", added_lines(F.col(text))).withColumn("hits", raw_hits(F.col("added"), rs, only))
+    # an excuse is for rule 2 alone
+    return out.withColumn("hits", excuse(F.col("hits"), F.col("added"), rs)) if excused and 2 in only else out
 
 
-def rule_hits(df: DataFrame, key: str, text: str = "text", rules: RuleSet | None = None, excused: bool = True) -> DataFrame:
-    return scan_changes(df, text, rules, excused).select(key, F.inline("hits"))
+def rule_hits(df: DataFrame, key: str, text: str = "text", rules: RuleSet | None = None, excused: bool = True, only: Sequence[int] = RULES) -> DataFrame:
+    return scan_changes(df, text, rules, excused, only).select(key, F.inline("hits"))
 
 
 def gate_verdict(df: DataFrame, key: str, text: str = "text", rules: RuleSet | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def rule_hits(spark, sf_dir):
 
 
 def rule_hits_excused(spark, sf_dir):
-    out = G.rule_hits(changes(spark, sf_dir), "doc_id", rules=PROSE).where("rule = 2")
+    out = G.rule_hits(changes(spark, sf_dir), "doc_id", rules=PROSE, only=(2,))
     return out.groupBy("doc_id", "detail").agg(F.count(F.lit(1)).alias("hits"), F.min("pos").alias("first_pos"))
 
 
@@ -53,7 +53,7 @@ def external_asset_hits(spark, sf_dir):
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
     pages = T.table(spark, sf_dir, "pages").select(
         (-1 - F.col("page_id")).alias("doc_id"), F.concat_ws("\n", "url", "html").alias("text"))
-    hits = G.rule_hits(docs.unionByName(pages), "doc_id").where("rule = 3")
+    hits = G.rule_hits(docs.unionByName(pages), "doc_id", only=(3,))
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.min_by("detail", "pos").alias("first_detail"))
 
 

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from rankspark.operators import rules as G
 from rankspark.operators.dense import DenseFeatures
 from rankspark.operators.skew import running
 
@@ -35,3 +36,12 @@ def test_running_before_this_row(spark):
         for bound in (1000, 4):
             got = {r["i"]: r["m"] for r in running(df, ["k"], ["i"], "v", kind, "m", max_rows=bound, before=True).collect()}
             assert got == want
+
+
+def test_only_the_named_rules_are_scanned(spark):
+    df = spark.createDataFrame([(1, "wget http://x\nlong_view = 1\nsplit = 'test'")], "id int, text string")
+    every = [(r["rule"], r["detail"]) for r in G.rule_hits(df, "id").collect()]
+    assert {r for r, _ in every} >= {1, 3}
+    for n in G.RULES:
+        out = G.rule_hits(df, "id", only=(n,))
+        assert [(r["rule"], r["detail"]) for r in out.collect()] == [h for h in every if h[0] == n]
