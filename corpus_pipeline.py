@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, shards of a cleaned and mixed corpus out.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept.  ``run`` writes each stage's rows under the shared
-folder and reads them again for the next, so a lost executor never repeats an earlier stage.
+folder and reads them again for the next, so a lost executor never repeats an earlier stage.  Once they are written, the tables that the
+stage made on the way and the rows of the stage before are removed.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankspark.llm import decontam, mixing, nearcopies, sharding, simhash, toxicity
 from rankspark.llm.queries import read
-from rankspark.session import pin
+from rankspark.session import passing, pin, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHARDS = 24
@@ -61,5 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = pin(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with passing() as keep:
+            docs = keep(pin(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        release(before)  # the given table was not pinned and stays
     return docs

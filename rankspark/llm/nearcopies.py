@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rankspark.llm.graph import connected
 from rankspark.llm.texts import tokens
-from rankspark.session import pin
+from rankspark.session import passing, pin
 
 SHINGLE = 5
 LEAST = 0.8
@@ -175,7 +175,13 @@ def _by_bound(rest: DataFrame, least: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, least: float = LEAST, likely: DataFrame | None = None) -> DataFrame:
-    """(row, component) of every row of ``docs``: row (unique), text.  ``likely``: pairs (a, b) of rows that are compared besides those that share a key."""
+    """(row, component) of every row of ``docs``: row (unique), text.  ``likely``: pairs (a, b) of rows that are compared besides those that share a key.
+    The result is written; all tables on the way to it are removed."""
+    with passing() as keep:
+        return keep(pin(_components(docs, size, least, likely), "components"))
+
+
+def _components(docs: DataFrame, size: int, least: float, likely: DataFrame | None) -> DataFrame:
     own = pin(_signed(docs.select("row", "text"), size), "signatures")
     nodes = own.groupBy("node").agg(F.min(F.struct("row", "n", "keys")).alias("s")).select("node", F.col("s.row").alias("first"), "s.n", "s.keys")
     if likely is not None:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm.texts import SLICE, add_columns, words
-from rankspark.session import pin
+from rankspark.session import passing, pin
 
 TERMS = 2048
 HASH_BITS = 20
@@ -196,6 +196,11 @@ def _informative(sample: DataFrame, most: int) -> tuple[list[int], int, int]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text",
         terms: int = TERMS, seed: int = 7) -> Model:
+    with passing():  # a model is numbers on the driver: nothing reads the tables it was fitted on later
+        return _fitted(docs, labels, label, doc_id, text, terms, seed)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, terms: int, seed: int) -> Model:
     from pyspark.ml.classification import FMClassifier
     from pyspark.ml.feature import CountVectorizerModel
 
