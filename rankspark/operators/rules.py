@@ -128,23 +128,38 @@ def raw_hits(added: Column, rs: RuleSet, only: Sequence[int] = RULES) -> Column:
     return F.concat(*[over_lines(r) for r in rules])
 
 
-def excuse(hits: Column, added: Column, rs: RuleSet, reach: int = MARKER_REACH) -> Column:
+def marker_lines(added: Column, rs: RuleSet) -> Column:
+    """Positions of the marker lines, to be a column of its own: inside ``excuse`` every hit would look for them again."""
+    return F.transform(F.filter(added, lambda s: s["line"].rlike(rs.marker)), lambda s: s["pos"])
+
+
+def excuse(hits: Column, markers: Column, reach: int = MARKER_REACH) -> Column:
     """Drop rule-2 hits with a marker line of the same change within ``reach`` lines."""
-    markers = F.transform(F.filter(added, lambda s: s["line"].rlike(rs.marker)), lambda s: s["pos"])
     near = lambda h: F.exists(markers, lambda m: F.abs(m - h["pos"]) <= reach)
-    return F.filter(hits, lambda h: (h["rule"] != 2) | ~near(h))
+    # the second use of ``markers`` also keeps the planner from moving its expression into the function of a hit
+    return F.when(F.size(markers) == 0, hits).otherwise(F.filter(hits, lambda h: (h["rule"] != 2) | ~near(h)))
 
 
 def scan_changes(df: DataFrame, text: str = "text", rules: RuleSet | None = None, excused: bool = True, only: Sequence[int] = RULES) -> DataFrame:
     """Adds ``added`` and ``hits`` arrays to every change; only the rules named are looked for."""
     rs = rules or RuleSet()
     out = df.withColumn("added", added_lines(F.col(text))).withColumn("hits", raw_hits(F.col("added"), rs, only))
-    # an excuse is for rule 2 alone
-    return out.withColumn("hits", excuse(F.col("hits"), F.col("added"), rs)) if excused and 2 in only else out
+    if not (excused and 2 in only):  # an excuse is for rule 2 alone
+        return out
+    marked = out.withColumn("__markers", marker_lines(F.col("added"), rs))
+    return marked.withColumn("hits", excuse(F.col("hits"), F.col("__markers"))).drop("__markers")
+
+
+def lines_out(df: DataFrame, key: str, arrays: Column | str, first: str) -> DataFrame:
+    """One row per struct of ``arrays``, whose field ``first`` is never null.
+
+    A plain inline makes the planner ask for non-empty arrays first, below all projections: every scan would run several times.
+    """
+    return df.select(key, F.inline_outer(arrays)).where(F.col(first).isNotNull())
 
 
 def rule_hits(df: DataFrame, key: str, text: str = "text", rules: RuleSet | None = None, excused: bool = True, only: Sequence[int] = RULES) -> DataFrame:
-    return scan_changes(df, text, rules, excused, only).select(key, F.inline("hits"))
+    return lines_out(scan_changes(df, text, rules, excused, only), key, "hits", "rule")
 
 
 def gate_verdict(df: DataFrame, key: str, text: str = "text", rules: RuleSet | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def changes(spark, sf_dir):
 
 
 def added_lines(spark, sf_dir):
-    out = changes(spark, sf_dir).select("doc_id", F.inline(G.added_lines(F.col("text"))))
+    out = G.lines_out(changes(spark, sf_dir), "doc_id", G.added_lines(F.col("text")), "pos")
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("pos").alias("pos_sum"),
                                      F.sum(F.length("line")).alias("chars"))
 
