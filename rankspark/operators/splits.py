@@ -82,14 +82,21 @@ def coverage(df: DataFrame, parent: Ranges, parts: Ranges, date: str = "date") -
         F.sum((claims > 1).cast("bigint")).alias("claimed_twice"))
 
 
-def difference_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+#: Rows that a task of ``difference_rows`` counts when it is told their number.
+TASK_ROWS = 500_000
+
+
+def difference_rows(left: DataFrame, right: DataFrame, rows: int | None = None) -> DataFrame:
     """Rows on one side only, with multiplicity; empty when the frames hold the same rows.
 
-    Counted by group, so copies of one row collapse before the shuffle.
+    Counted by group, so copies of one row collapse before the shuffle.  Where most rows differ from each other that would only fill the
+    memory of the tasks that read: with ``rows``, about how many both sides have, rows are dealt out first, ``TASK_ROWS`` to a task.
     """
     cols = left.columns
     both = (left.select(*cols, F.lit(1).alias("_d"))
             .unionByName(right.select(*cols, F.lit(-1).alias("_d"))))
+    if rows is not None:
+        both = both.repartition(rows // TASK_ROWS + 1, *cols)
     return both.groupBy(*cols).agg(F.sum("_d").alias("surplus")).where(F.col("surplus") != 0)
 
 

@@ -48,21 +48,25 @@ def yyyymmdd(ts: str):
     return (F.year(ts) * 10000 + F.month(ts) * 100 + F.dayofmonth(ts)).cast("int")
 
 
-def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as an impression log: who saw what, from whom, when, and the label.
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The impressions before they meet their orders.
 
     ``shown_at`` is the stored time, which range filters can push to the scan; ``date`` is derived from it.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("author_id"),
         F.col("l_extendedprice").alias("duration_ms"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_shipdate").alias("shown_at"),
         yyyymmdd("l_shipdate").alias("date"))
+
+
+def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as an impression log: who saw what, from whom, when, and the label."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_orderpriority").alias("tab"))
-    return lines.join(orders, "order_id")
+    return order_lines(spark, sf_dir).join(orders, "order_id")
 
 
 def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
